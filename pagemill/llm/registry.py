@@ -1,9 +1,9 @@
 """Queries and SQL of the operators."""
 
-from . import media, mixing
+from . import chat, media, mixing, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (media, mixing):
+for _module in (chat, media, mixing, warc):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

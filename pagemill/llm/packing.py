@@ -161,10 +161,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16) -
     """Where the pieces go, as runs (length, first, last, sequence, offset): the pieces of this length numbered first..last-1
     go to sequence, sequence+1, ... at this offset.
 
-    The program works on lengths rounded up to `grain`; its configurations are rounded down to whole bins and filled with real
-    lengths, the longest first; what is left over goes, longest first, where it fits best, and into new bins if nowhere.
-    The work depends on the number of different lengths, not of pieces.
+    The program works on lengths rounded up to `grain`. Its solution is rounded in a few ways, and the one that makes the fewest
+    sequences is kept. The work depends on the number of different lengths, not of pieces.
     """
+    counts = np.zeros(capacity // grain, np.int64)
+    for length, n in histogram.items():
+        counts[-(-length // grain) - 1] += n
+    solved = sorted(configuration_lp(counts, len(counts)).items(), key=lambda x: (-x[1], x[0]))
+    tried = (rounded(histogram, solved, capacity, grain, share, loose) for share in (1.0, 0.9, 0.5) for loose in (0, 1, 3))
+    return min(tried, key=lambda found: max((r[3] + r[2] - r[1] for r in found), default=0))
+
+
+def rounded(histogram: dict[int, int], solved, capacity: int, grain: int, share: float, loose: int) -> list[tuple[int, int, int, int, int]]:
+    """`share` of the solution's bins, rounded down to whole ones, are filled with real lengths, the longest first, but for the
+    `loose` smallest items of each, whose room then also holds what rounding lengths up had left free. What is left over goes,
+    longest first, where it fits best, and into new bins if nowhere."""
     runs: dict[int, list[list[int]]] = {}  # by rounded size: [length, first, last], the longest at the end
     for length in sorted(histogram):
         runs.setdefault(-(-length // grain), []).append([length, 0, histogram[length]])
@@ -177,12 +188,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16) -
         """The group's first n bins, and the rest."""
         return (n, items, room), (bins - n, [(length, first + n) for length, first in items], room)
 
-    for config, bins in sorted(configuration_lp(counts, units).items(), key=lambda x: (-x[1], x[0])):
-        bins = min([int(bins + 1e-9), *(int(full[s - 1] // config.count(s)) for s in set(config))])
+    for config, bins in solved:
+        bins = min([int(share * bins + 1e-9), *(int(full[s - 1] // config.count(s)) for s in set(config))])
         if bins <= 0:
             continue
         parts = [(bins, [], capacity)]
-        for s in config:
+        for s in config[: max(1, len(config) - loose)]:
             full[s - 1] -= bins
             todo, parts = parts, []
             for part in todo:

@@ -95,3 +95,17 @@ def bounded_sample(df: DataFrame, stratum: str, rows: int, key: str = "doc_id",
     for value, n in counts:
         share = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, rows / n))).otherwise(share)
     return here.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches, with their texts: about `most` bytes of text each, or one longer text alone."""
+    for b in batches:
+        texts, size, start = [], 0, 0
+        for k in range(b.num_rows):
+            texts += utf8(b.column(column).slice(k, 1))
+            size += len(texts[-1])
+            if size >= most or len(texts) == 1024:
+                yield b.slice(start, len(texts)), texts
+                texts, size, start = [], 0, k + 1
+        if texts:
+            yield b.slice(start, len(texts)), texts

@@ -1,9 +1,9 @@
 """Queries and SQL of the operators."""
 
-from . import chat, media, mixing, packing, warc
+from . import chat, media, mixing, neardup, packing, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (chat, media, mixing, packing, warc):
+for _module in (chat, media, mixing, neardup, packing, warc):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -86,10 +86,10 @@ def slim(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(n).cast("bigint") if n in ("doc_id", "page_id", "conv_id") else F.col(n) for n in names))
 
 
-def bounded_sample(df: DataFrame, stratum: str, rows: int, key: str = "doc_id", longest: int = 200_000) -> DataFrame:
+def bounded_sample(df: DataFrame, stratum: str, rows: int, key: str = "doc_id") -> DataFrame:
     """For fitting classifiers: about `rows` rows of each value of `stratum` (fewer than 1.2 * rows + 100, all but surely),
-    picked by a hash of `key`, from texts of at most `longest` characters; null strata are left out."""
-    here = df.where(F.col(stratum).isNotNull() & (F.length("text") <= longest))
+    picked by a hash of `key`; of the 256 most frequent values, null left out. So its size is bounded, and it may be broadcast."""
+    here = df.where(F.col(stratum).isNotNull())
     counts = here.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(256).collect()
     share = F.lit(0.0)
     for value, n in counts:

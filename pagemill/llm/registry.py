@@ -1,9 +1,9 @@
 """Queries and SQL of the operators."""
 
-from . import chat, media, mixing, neardup, packing, quality, warc
+from . import chat, langid, media, mixing, neardup, packing, quality, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (chat, media, mixing, neardup, packing, quality, warc):
+for _module in (chat, langid, media, mixing, neardup, packing, quality, warc):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

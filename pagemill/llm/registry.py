@@ -1,9 +1,9 @@
 """Queries and SQL of the operators."""
 
-from . import chat, langid, media, mixing, neardup, packing, quality, toxicity, warc
+from . import chat, langid, lm, media, mixing, neardup, packing, quality, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (chat, langid, media, mixing, neardup, packing, quality, toxicity, warc):
+for _module in (chat, langid, lm, media, mixing, neardup, packing, quality, toxicity, warc):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

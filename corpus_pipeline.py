@@ -1,8 +1,54 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents that pass language identification and quality rules, one of each group of near-duplicates, mixed
+to target weights by source and packed into training sequences."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagemill.llm.common import store, table
+from pagemill.llm.langid import UND, identify_language
+from pagemill.llm.mixing import mixed_documents
+from pagemill.llm.neardup import without_near_duplicates
+from pagemill.llm.packing import pack
+from pagemill.llm.quality import quality_rules
+
+#: A document whose best language has less posterior probability than this is rejected, as is one without a letter.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is known; those predicted und, or with a score under LEAST_LANGUAGE_SCORE, go."""
+    found = identify_language(docs, carry=True)
+    return found.where((found["lang_pred"] != UND) & (found["score"] >= LEAST_LANGUAGE_SCORE)).select("row.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more."""
+    return without_near_duplicates(docs, words=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources, by training position: a row for each use of a document, none for those not used."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents' pieces in sequences of 4096 tokens."""
+    return pack(docs)
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality), ("near_dedup", near_dedup), ("mix_sources", mix), ("pack", packing)]
+#: Learned models and tokenizers have no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but these bytes; bytes.split() without arguments cuts at just these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -109,3 +110,17 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_0
                 texts, size, start = [], 0, k + 1
         if texts:
             yield b.slice(start, len(texts)), texts
+
+
+def map_texts(docs: DataFrame, run, ddl: str, carry: bool, **more: Column) -> DataFrame:
+    """mapInArrow over (doc_id, text, *more) of docs. With carry, run also gets the whole row as the last column, `row`, and has
+    to return it after the columns of `ddl`, so that its decisions can be applied without a join."""
+    source = docs.select(F.col("doc_id").cast("bigint"), "text", *(c.alias(n) for n, c in more.items()), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    kind = T.StructType.fromDDL(ddl)
+    return source.mapInArrow(run, kind.add("row", docs.schema, False) if carry else kind)
+
+
+def out_batch(b: pa.RecordBatch, schema: pa.Schema, columns: list, carry: bool) -> pa.RecordBatch:
+    if not carry:
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+    return pa.RecordBatch.from_arrays([*columns, b.column(b.num_columns - 1)], names=[*schema.names, "row"])

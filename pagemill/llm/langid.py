@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, by_bytes, fold, slim, table
+from .common import bounded_sample, by_bytes, fold, map_texts, out_batch, table
 
 #: At most about so many texts of each language are learned from, of at most so many bytes each.
 SAMPLE, LONGEST = 1200, 100_000
@@ -170,13 +170,13 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
-def identify_language(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
+def identify_language(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, folds: int = 5, held_out_fold: int = 0, carry: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, a row for each of docs (doc_id, text, lang and any more).
 
     Learned from texts with a non-null lang whose crc32(doc_id as text) mod `folds` isn't `held_out_fold`: about `sample` texts of
     each language. lang_pred is the language of most posterior probability, given all words of the text, and score is that
     probability; und and 0 for a null text, one without a letter, or if there is nothing to learn from. Null doc_id: crc32 of
-    the empty text decides. Repeated rows are rows of their own.
+    the empty text decides. Repeated rows are rows of their own. With carry, row has the columns of docs.
     """
     path = path or public_vocabulary()
     apart = fold(F.col("doc_id"), folds) == held_out_fold
@@ -203,9 +203,9 @@ def identify_language(docs: DataFrame, path: str | None = None, sample: int = SA
                 score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 score = np.where(sums[:, -1] > 0, score, 0.0)
                 lang = [m.languages[k] if n > 0 else UND for k, n in zip(best, sums[:, -1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=schema)
+            yield out_batch(b, schema, [b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], carry)
 
-    return slim(docs, "doc_id", "text").withColumn("held_out", apart).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_texts(docs, run, "doc_id bigint, held_out boolean, lang_pred string, score double", carry, held_out=apart)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

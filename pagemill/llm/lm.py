@@ -23,7 +23,7 @@ CLASSES = OWN + SHARED
 #: Words of context, sizes of the vectors, noise samples of a batch, examples in a batch.
 CONTEXT, SIZE, NOISE, BATCH = 5, 24, 96, 512
 #: Training takes every so manieth position of every training text in each round, and the tasks' parameters are averaged.
-EVERY, ROUNDS, RATE = 16, 2, 0.1
+EVERY, ROUNDS, RATE = 8, 2, 0.5
 MERGES = 64
 
 

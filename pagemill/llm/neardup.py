@@ -98,7 +98,7 @@ def _trim() -> None:
 
 def _sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, node (a digest of the set) and bands; both null for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for b, texts in by_bytes(batches, 1):
@@ -107,12 +107,12 @@ def _sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(sketches(full, bands * rows), bands, rows)) if full else iter(())
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>")
+    return docs.select("*", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -181,7 +181,8 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """docs (doc_id, text) in groups of near-duplicates: doc_id, n_shingles, component_id, kept, a row for each row of docs.
+    """docs (doc_id, text) in groups of near-duplicates: doc_id, text_key (xxhash64 of the text), n_shingles, component_id, kept, a
+    row for each row of docs.
 
     Texts are lower-cased (A-Z) and cut into words; a document's set is its distinct shingles of `words` words, or with fewer
     words all of them as one. Documents are linked if the similarity of their sets is at least `percent` hundredths, and
@@ -236,13 +237,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     labelled = store(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "labelled")
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     of_node = labelled.join(least, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    out = found.select("doc_id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """docs but for all documents of a group other than the one with the smallest doc_id; of equal rows one stays."""
+    found = near_duplicates(docs, **settings)
+    gone = store(found.where("NOT kept").select("doc_id", "text_key").distinct(), "gone")
+    again = store(found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "again")
+    keyed = docs.withColumns({"neardup_id": F.col("doc_id").cast("bigint"), "neardup_key": F.xxhash64("text")})
+    same = lambda other: F.col("neardup_id").eqNullSafe(other["doc_id"]) & (F.col("neardup_key") == other["text_key"])
+    left = keyed.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    return left.join(again, same(again), "left_anti").unionByName(left.join(again, same(again), "left_semi").dropDuplicates(["neardup_id", "neardup_key"])).select(*docs.columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("text_key")
 
 
 QUERIES = {"op9_near_duplicates": op9_near_duplicates}

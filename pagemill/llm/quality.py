@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, bounded_sample, by_bytes, slim, table
+from .common import SPACES, bounded_sample, by_bytes, map_texts, out_batch, slim, table
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -149,13 +149,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tre
     return fit(x, (t.column("label").to_numpy() > 0).astype(float) if t.num_rows else np.empty(0), list(FEATURES.values()))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, verdict: float = VERDICT, sample: int = SAMPLE) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, verdict: float = VERDICT, sample: int = SAMPLE, carry: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept: a row for each of docs.
 
     base_failed: fewer than 50 words, or over half of them in repeated windows of three. quality: probability of a good label by
     the trees. kept: not base_failed, and quality >= verdict. Null or empty text: no words, so it fails. Without labels of both
     kinds the trees are a constant, that of the labels there are (or a half), so the base alone decides. Null doc_id: a row like
     others, but never labelled. Repeated rows are scored alike; repeated labels count as often as they are there.
+    With carry, row has the columns of docs.
     """
     model = fit_quality(docs, labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,9 +169,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, verdict: float = VERDICT,
             counts, features = zip(*(statistics(t) for t in texts))
             counts, good = np.array(counts, np.int64), trees.probability(np.array(features, float))
             failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT * counts[:, 0])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, k]) for k in range(5)), pa.array(failed), pa.array(good), pa.array(~failed & (good >= verdict))], schema=schema)
+            yield out_batch(b, schema, [b.column(0), *(pa.array(counts[:, k]) for k in range(5)), pa.array(failed), pa.array(good), pa.array(~failed & (good >= verdict))], carry)
 
-    return slim(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", base_failed boolean, quality double, kept boolean")
+    return map_texts(docs, run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", base_failed boolean, quality double, kept boolean", carry)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

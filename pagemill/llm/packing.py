@@ -20,7 +20,7 @@ END = (1).to_bytes(4, "little")
 #: Pieces of one length are numbered within so many groups, dealt in turn, so that a length that a third of all have is spread.
 GROUPS = 256
 #: A worker keeps the ids of so many words, and of as many seen before those.
-CACHE = 300_000
+CACHE = 600_000
 _encoders: dict = {}
 
 

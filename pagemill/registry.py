@@ -1,4 +1,6 @@
 """Queries of the engine's own operators, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import core_queries
+
+QUERIES: dict = dict(core_queries.QUERIES)
+ORACLE: dict[str, str] = dict(core_queries.ORACLE)

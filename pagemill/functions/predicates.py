@@ -43,10 +43,13 @@ def target_of(url: Column) -> Column:
 
 
 def _any(url: Column, patterns: list[Pattern]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | p.test(target_of(url))
-    return out
+    def test(target):
+        out = F.lit(False)
+        for p in patterns:
+            out = out | p.test(target)
+        return out
+
+    return urls.let(target_of(url), test)
 
 
 def is_excluded(url: Column, patterns: list[Pattern]) -> Column:
@@ -95,10 +98,13 @@ def robots_length(pattern: str) -> int:
 
 def is_allowed(url: Column, rules: list[tuple[str, str]]) -> Column:
     """Of the rules that match, the one with the longest pattern decides, the first of equals; without one all is allowed."""
-    out = F.lit(True)
-    for kind, pattern in _shortest_first(rules):
-        out = F.when(target_of(url).rlike(robots_regex(pattern)), F.lit(kind == "allow")).otherwise(out)
-    return out
+    def test(target):
+        out = F.lit(True)
+        for kind, pattern in _shortest_first(rules):
+            out = F.when(target.rlike(robots_regex(pattern)), F.lit(kind == "allow")).otherwise(out)
+        return out
+
+    return urls.let(target_of(url), test)
 
 
 def _shortest_first(rules):
@@ -126,10 +132,7 @@ def is_asset(url: Column) -> Column:
 
 
 def is_utility(url: Column) -> Column:
-    out = F.lit(False)
-    for part in UTILITY:
-        out = out | urls.pathname(url).contains(part)
-    return out
+    return urls.pathname(url).rlike("|".join(UTILITY))
 
 
 def is_followable_href(href: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ PLAIN_IN_PATH = {
 PLAIN_IN_COMPONENT = {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once and the expression no larger than its parts."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _undo(column: Column, table: dict[str, str]) -> Column:
     for code, char in table.items():
         column = F.replace(column, F.lit(code), F.lit(char))
@@ -65,17 +72,22 @@ def _without_dots(path: Column) -> Column:
 
 
 def pathname(url: Column) -> Column:
-    raw = F.regexp_extract(url, r"^(?i:https?)://[^/?#]*([^?#]*)", 1)
-    raw = F.when(raw == "", "/").otherwise(F.translate(raw, "\\", "/"))
-    raw = F.when(raw.rlike(r"/\.\.?(/|$)"), _without_dots(raw)).otherwise(raw)
-    return encode_path(raw)
+    def of(raw):
+        dotted = F.when(raw.rlike(r"/\.\.?(/|$)"), _without_dots(raw)).otherwise(raw)
+        return F.when(raw.rlike(r"\A/[!-~&&[^\"<>`{}^\\]]*\z") & ~raw.rlike(r"/\.\.?(/|$)"), raw).when(raw == "", "/").otherwise(let(F.translate(dotted, "\\", "/"), encode_path))
+
+    return let(F.regexp_extract(url, r"^(?i:https?)://[^/?#]*([^?#]*)", 1), of)
 
 
 def search(url: Column) -> Column:
     """"?query", empty without one or with an empty one."""
-    q = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
-    q = F.when(q.rlike(r"[^!-~]|[\"<>']"), _undo(F.replace(F.url_encode(q), F.lit("+"), F.lit("%20")), PLAIN_IN_PATH | {"%3F": "?", "%2F": "/", "%7B": "{", "%7D": "}", "%60": "`", "%5E": "^", "%5C": "\\"})).otherwise(q)
-    return F.when(q == "?", "").otherwise(q)
+    table = PLAIN_IN_PATH | {"%3F": "?", "%7B": "{", "%7D": "}", "%60": "`", "%5E": "^", "%5C": "\\"}
+
+    def of(q):
+        encoded = F.when(q.rlike(r"[^!-~]|[\"<>']"), _undo(F.replace(F.url_encode(q), F.lit("+"), F.lit("%20")), table)).otherwise(q)
+        return F.when(q == "?", "").otherwise(encoded)
+
+    return let(F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1), of)
 
 
 def fragment(url: Column) -> Column:
@@ -84,22 +96,24 @@ def fragment(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """The URL as the standard serialises it; null if it is no http URL."""
-    return F.when(is_http(url), F.concat(origin(url), pathname(url), search(url), fragment(url)))
+    return let(url, lambda u: F.when(is_http(u), F.concat(origin(u), pathname(u), search(u), fragment(u))))
 
 
 def resolve(href: Column, base: Column) -> Column:
     """href relative to base, serialised; null if the result is no http URL."""
-    href = F.trim(href)
-    directory = F.regexp_replace(pathname(base), "[^/]*$", "")
-    joined = (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .when(href.startswith("?"), F.concat(origin(base), pathname(base), href))
-        .when(href.startswith("#") | (href == ""), F.concat(origin(base), pathname(base), search(base), href))
-        .otherwise(F.concat(origin(base), directory, href))
-    )
-    return canonical(joined)
+
+    def joined(href, base):
+        directory = F.regexp_replace(pathname(base), "[^/]*$", "")
+        return (
+            F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+            .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
+            .when(href.startswith("/"), F.concat(origin(base), href))
+            .when(href.startswith("?"), F.concat(origin(base), pathname(base), href))
+            .when(href.startswith("#") | (href == ""), F.concat(origin(base), pathname(base), search(base), href))
+            .otherwise(F.concat(origin(base), directory, href))
+        )
+
+    return let(F.struct(href.alias("h"), base.alias("b")), lambda v: canonical(joined(F.trim(v.h), v.b)))
 
 
 def segments(path: Column) -> Column:
@@ -120,8 +134,7 @@ def prefix_score(url: Column, ref_path: Column) -> Column:
 
 
 def is_in_scope(url: Column, scope: Column) -> Column:
-    p = pathname(url)
-    return (scope == "/") | (is_http(url) & ((p == scope) | p.startswith(F.concat(scope, F.lit("/")))))
+    return (scope == "/") | (is_http(url) & let(pathname(url), lambda p: (p == scope) | p.startswith(F.concat(scope, F.lit("/")))))
 
 
 def default_scope(host: Column, path: Column) -> Column:

@@ -9,6 +9,7 @@ from urllib.parse import urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates, urls
 
@@ -25,8 +26,8 @@ def html_links(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, link of pages (page_id, url, html): same-host addresses in the order of the page, the first of equals;
     fragments are dropped, queries kept, assets and utility pages left out."""
     hrefs = F.transform(F.regexp_extract_all("html", F.lit(HREF), 1), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
-    each = pages.select("page_id", "url", F.col("url").alias("base"), F.posexplode(F.array_distinct(hrefs)).alias("pos", "href"))
-    links = each.select("page_id", "url", "base", "pos", F.regexp_replace(urls.resolve(F.col("href"), F.col("base")), "#.*$", "").alias("link"))
+    resolved = F.transform(F.array_distinct(hrefs), lambda x: F.regexp_replace(urls.resolve(x, F.col("url")), "#.*$", ""))
+    links = pages.select("page_id", "url", F.col("url").alias("base"), F.posexplode(resolved).alias("pos", "link"))
     kept = _followed(links).where(~predicates.is_utility(F.col("link")))
     return kept.groupBy("page_id", "url", "link").agg(F.min("pos").alias("pos"))
 
@@ -40,8 +41,9 @@ def markdown_links(documents: DataFrame, markdown: str = "markdown", base: str =
         F.regexp_extract_all(md, F.lit(r"<((?:https?://|/)[^>\s]+)>"), 1), F.regexp_extract_all(md, F.lit(r"(?:^|[\s(])(https?://[^\s)>\]]+)"), 1),
     )
     rest = [c for c in documents.columns if c != markdown]
-    each = documents.select(*rest, F.col(base).alias("base"), F.posexplode(F.array_distinct(found)).alias("pos", "href")).where(predicates.is_followable_href(F.col("href")))
-    links = each.withColumn("link", urls.strip_markdown_suffix(F.regexp_replace(urls.resolve(F.col("href"), F.col("base")), "#.*$", "")))
+    wanted = F.filter(F.array_distinct(found), predicates.is_followable_href)
+    resolved = F.transform(wanted, lambda x: urls.strip_markdown_suffix(F.regexp_replace(urls.resolve(x, F.col(base)), "#.*$", "")))
+    links = documents.select(*rest, F.col(base).alias("base"), F.posexplode(resolved).alias("pos", "link"))
     return _followed(links).groupBy(*rest, "link").agg(F.min("pos").alias("pos"))
 
 
@@ -69,7 +71,7 @@ def _replaced(text: str, new: dict[str, str]) -> str:
     return re.sub(MD_LINK, lambda m: f"[{m[1]}]({new[m[2]]}{m[3]})" if m[2] in new else m[0], text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _apply(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, old, new in parts:
         yield pd.Series([t if t is None or a is None or not len(a) else _replaced(t, dict(zip(a, b))) for t, a, b in zip(texts, old, new)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown, predicates, urls
 from ..operators import crawl, links
+from . import extract
 
 INCLUDE = predicates.parse_patterns("/en/,/\\/(fr|de)\\/\\d+/i")
 EXCLUDE = predicates.parse_patterns("utm_source,/[?&]page=\\d+/")
@@ -207,11 +208,36 @@ _doc_query(
     "doc_paragraph_dedup", lambda x: markdown.deduplicate_content(x),
     """WITH l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(line, ' ' || chr(9)) ORDER BY i) AS n FROM l)
-SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY i) FILTER (n = 1) AS value FROM k GROUP BY doc_id""",
+SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY i) FILTER (n = 1) || CASE WHEN arg_max(n, i) > 1 THEN chr(10) ELSE '' END AS value FROM k GROUP BY doc_id""",
     lambda: F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")),
 )
 _doc_query("doc_error_pages", predicates.is_error_page, "SELECT doc_id, length(trim(regexp_replace(text, '(?m)^#[^\\n]*\\n*', '', 'g'))) < 200 AND (contains(lower(text), '404') OR contains(lower(text), 'not found')) AS value FROM documents")
 _doc_query("doc_navigation_filter", markdown.filter_navigation, None, lambda: F.concat(F.lit("Home > Docs > API\n![](x.png)\n"), F.col("text")))
 _doc_query("doc_chrome_filter", markdown.strip_fallback_chrome, "SELECT doc_id, text AS value FROM documents", lambda: F.concat(F.lit("On this page\nlatest\n•\n"), F.col("text")))
 _doc_query("doc_vendor_filter", markdown.vendor_rules, "SELECT doc_id, 'Microsoft Learn' || chr(10) || text AS value FROM documents", lambda: F.concat(F.lit("Microsoft Learn\n5 min\nFeedback\n"), F.col("text")))
-_doc_query("doc_filter_markdown", markdown.filter_markdown, None)
+QUERIES["doc_filter_markdown"] = lambda spark, sf_dir: markdown.filter_markdown(t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")), "value")
+
+
+@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
+def page_title(spark, sf_dir):
+    return extract.extract_markdown(t(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+@query()
+def page_extract_markdown(spark, sf_dir):
+    return extract.extract_markdown(t(spark, sf_dir, "pages"))
+
+
+@query()
+def page_filter_markdown(spark, sf_dir):
+    return extract.output_files(extract.extract_markdown(t(spark, sf_dir, "pages")))
+
+
+@query(f"WITH {LINKS_SQL} SELECT page_id, count(*)::BIGINT AS n FROM links GROUP BY page_id")
+def page_dom_links(spark, sf_dir):
+    return extract.extract_markdown(t(spark, sf_dir, "pages")).where(F.size("links") > 0).select("page_id", F.size("links").cast("bigint").alias("n"))
+
+
+@query()
+def rewrite_links(spark, sf_dir):
+    return links.fix_links(extract.output_files(extract.extract_markdown(t(spark, sf_dir, "pages"))))

@@ -17,7 +17,8 @@ WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, GRAM_BUCKETS, GRAM = 1 << 14, 1 << 15, 4
 #: Sizes of the embeddings (of each the first number is a log odds ratio to begin with) and of the states.
 D, H = 6, 8
-EPOCHS, BATCH = 8, 128
+#: Rounds over the sample, and more if that makes fewer steps.
+EPOCHS, STEPS, BATCH = 8, 400, 128
 #: Words whose inputs a worker keeps.
 CACHE = 300_000
 PUNCTUATION = b".,;:!?\"'()[]{}|*#<>&$%"
@@ -191,8 +192,10 @@ def train(texts: list[bytes], y: np.ndarray, prior: float, seed: int = 1) -> Net
     score = signal[every].max(axis=1)
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, chosen_texts = 0, np.flatnonzero(fits)
-    for epoch in range(EPOCHS):
-        if epoch in (2, 4, 6):
+    batches = -(-int(fits.sum() + (fits & (y == 0)).sum()) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // max(1, batches)))
+    for epoch in range(epochs):
+        if epoch and epoch % max(2, epochs // 4) == 0:
             some = np.concatenate([np.arange(first[k], last[k]) for k in chosen_texts])
             score[some] = net.logits(all_gates(), every[some])
         pick = [(first[k] + score[first[k] : last[k]].argmax(), y[k]) for k in chosen_texts]

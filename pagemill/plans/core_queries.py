@@ -218,7 +218,7 @@ _doc_query("doc_vendor_filter", markdown.vendor_rules, "SELECT doc_id, 'Microsof
 QUERIES["doc_filter_markdown"] = lambda spark, sf_dir: markdown.filter_markdown(t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")), "value")
 
 
-@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title FROM pages""")
 def page_title(spark, sf_dir):
     return extract.extract_markdown(t(spark, sf_dir, "pages")).select("page_id", "title")
 

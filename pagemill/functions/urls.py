@@ -163,7 +163,7 @@ def markdown_candidates(url: Column) -> Column:
 def llms_txt_candidates(url: Column) -> Column:
     """Where a site's index for language models may lie, from the URL's own directory up to the root."""
     s = segments(pathname(url))
-    s = F.when(F.element_at(s, -1).rlike(r"\.[^.]+$") & (F.size(s) > 0), F.slice(s, 1, F.greatest(F.lit(0), F.size(s) - 1))).otherwise(s)
+    s = F.when(F.try_element_at(s, F.lit(-1)).rlike(r"\.[^.]+$") & (F.size(s) > 0), F.slice(s, 1, F.greatest(F.lit(0), F.size(s) - 1))).otherwise(s)
     each = F.transform(F.sequence(F.size(s), F.lit(0), F.lit(-1)), lambda n: F.concat(origin(url), F.lit("/"), F.array_join(F.concat(F.slice(s, F.lit(1), n), F.array(F.lit("llms.txt"))), "/")))
     return F.when(is_http(url), F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
@@ -222,6 +222,6 @@ def relative_link(target: Column, current: Column) -> Column:
 def title_from_markdown(markdown: Column, url: Column) -> Column:
     """The first level-one heading, else the last path segment in words, else "Documentation"."""
     head = F.trim(F.regexp_extract(markdown, r"(?m)^#[ \t]+(.+)$", 1))
-    last = F.translate(F.element_at(segments(pathname(url)), -1), "-_", "  ")
+    last = F.translate(F.try_element_at(segments(pathname(url)), F.lit(-1)), "-_", "  ")
     words = F.array_join(F.transform(F.split(last, r"\b"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")
     return F.when(head != "", head).when(is_http(url) & (F.size(segments(pathname(url))) > 0), words).otherwise("Documentation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown, predicates, urls
@@ -241,3 +241,35 @@ def page_dom_links(spark, sf_dir):
 @query()
 def rewrite_links(spark, sf_dir):
     return links.fix_links(extract.output_files(extract.extract_markdown(t(spark, sf_dir, "pages"))))
+
+
+ORACLE["doc_navigation_filter"] = r"""SELECT doc_id, value FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT regexp_matches(trim(line, ' ' || chr(9) || chr(13)), '^[^>]+(>[^>]+){2,}$')) AS value
+FROM (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))) GROUP BY doc_id)"""
+
+
+@query("""SELECT doc_id, unnest(['https://h.example/d/' || doc_id, 'https://h.example/y', 'https://h.example/z']) AS link, unnest([0, 1, 2])::INT AS pos FROM documents""")
+def md_links(spark, sf_dir):
+    md = F.concat(F.lit("[a]("), F.col("doc_id").cast("string"), F.lit('.md "t") [o](https://other.example/) ![i](/i.png) <https://h.example/y#f> https://h.example/z [m](mailto:x@y)'))
+    return links.markdown_links(t(spark, sf_dir, "documents").select("doc_id", md.alias("markdown"), F.lit("https://h.example/d/x").alias("url"))).select("doc_id", "link", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("pos")).cast("int").alias("rank")).select("doc_id", "link", (F.col("rank") - 1).alias("pos"))
+
+
+@query("SELECT page_id, unnest(['/a', '/b']) AS pattern, unnest([3, 4])::INT AS ord, unnest(['disallow', 'allow']) AS type FROM pages")
+def robots_rules(spark, sf_dir):
+    text = F.lit("User-agent: x\nDisallow: /no\nUser-agent: *\nDisallow: /a # all\nAllow: /b\n")
+    return predicates.parse_robots_table(t(spark, sf_dir, "pages").select(F.col("page_id").alias("host"), text.alias("text"))).select(F.col("host").alias("page_id"), "pattern", "ord", "type")
+
+
+@query("SELECT page_id, list_distinct([url, url || '/x', url]) = [] AS none, len(list_distinct([url, url || '/x', url]))::INT AS n FROM pages")
+def merged_links(spark, sf_dir):
+    both = links.merge_links(F.array("url"), F.array(F.concat("url", F.lit("/x")), F.col("url")))
+    return t(spark, sf_dir, "pages").select("page_id", (F.size(both) == 0).alias("none"), F.size(both).alias("n"))
+
+
+@query("SELECT page_id, md5('# ' || page_id || chr(10)) AS digest FROM pages")
+def hosted_markdown(spark, sf_dir):
+    """Each page's first hosted candidate wins over the second."""
+    pages = t(spark, sf_dir, "pages")
+    body = F.concat(F.lit("# "), F.col("page_id").cast("string"))
+    hosted = pages.select("page_id", F.posexplode(urls.markdown_candidates(u())).alias("ord", "url")).select("url", F.lit("text/plain").alias("content_type"), F.when(F.col("ord") == 0, body).otherwise("# second").alias("text")).dropDuplicates(["url"])
+    found = extract.prefer_hosted(pages.select("url"), hosted)
+    return pages.join(found, "url").select("page_id", F.md5(F.concat("markdown", F.lit("\n")).cast("binary")).alias("digest"))

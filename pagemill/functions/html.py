@@ -19,7 +19,11 @@ CHROME_CLASSES = {"sidebar", "nav", "header", "footer", "version-selector", "the
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary"}
 JUNK = {"script", "style", "svg", "nav", "footer", "noscript", "iframe"}
 HIDDEN_CLASSES = {"visuallyHidden", "sr-only", "visually-hidden"}
-LEARN_IDS = {"content-header", "center-doc-outline", "side-doc-outline", "ai-summary", "inline-notifications", "article-metadata", "article-metadata-footer", "site-user-feedback-footer", "right-rail-training", "right-rail-recommendations", "right-rail-events", "additional-resources", "action-panel"}
+LEARN_IDS = {
+    "ms--content-header", "center-doc-outline", "side-doc-outline", "ms--ai-summary", "ms--inline-notifications", "article-metadata", "article-metadata-footer", "site-user-feedback-footer", "right-rail-training-mobile",
+    "right-rail-recommendations-mobile", "right-rail-events-mobile", "ms--additional-resources-mobile", "action-panel",
+}
+LEARN_PARTS = {"permission-content-unauthorized-private", "learning-resource-card", "recommendations", "site-feedback-section", "open-source-feedback-section"}
 
 
 class Node:
@@ -246,7 +250,7 @@ def prepare(root: Node, host: str) -> None:
                 n.remove()
     if host.endswith("microsoft.com"):
         for n in list(root.walk()):
-            if n.attrs.get("id") in LEARN_IDS or "popover-content" in n.classes() or n.attrs.get("data-bi-name") in ("unauthorized-notice", "learning-resource-card", "recommendations", "site-feedback", "open-source-feedback"):
+            if n.attrs.get("id") in LEARN_IDS or "popover-content" in n.classes() or n.attrs.get("data-bi-name") in LEARN_PARTS:
                 n.remove()
 
 
@@ -273,7 +277,7 @@ def _hidden(n: Node) -> bool:
 
 def _language(pre: Node, code: Node | None) -> str:
     for n in filter(None, (code, pre, *list(pre.above())[:2])):
-        if m := re.search(r"(?:language|lang|highlight)-(\S+)", n.attrs.get("class", "")):
+        if m := re.search(r"(?:language|lang|highlight)-(\w+)", n.attrs.get("class", "")):
             return m[1]
         if n.attrs.get("data-code-language"):
             return n.attrs["data-code-language"]

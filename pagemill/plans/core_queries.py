@@ -198,7 +198,7 @@ def _doc_query(name, f, sql, text=lambda: F.col("text")):
 
 
 _trim = "regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')"
-_doc_query("doc_legal_filter", markdown.filter_legal_boilerplate, _unnested(f"regexp_matches({_trim}, '^(Copyright *(©)?|©) *[0-9]{{4}}') OR regexp_matches({_trim}, '^(?i:all rights reserved)[.]?$') OR regexp_matches({_trim}, '^(?i)(Terms of (Service|Use)|Privacy Policy)( *[|·•] *(Terms of (Service|Use)|Privacy Policy))+[.]?$')"))
+_doc_query("doc_legal_filter", markdown.filter_legal_boilerplate, _unnested(f"regexp_matches({_trim}, '^(Copyright *(©)?|©) *[0-9]{{4}}') OR regexp_matches({_trim}, '^(?i:all rights reserved)[.]?$') OR regexp_matches({_trim}, '^(?i)(Terms of (Service|Use)|Privacy Policy)( *[|·•] *(Terms of (Service|Use)|Privacy Policy))*[.]?$')"))
 _doc_query("doc_format_filter", markdown.filter_formatting_artifacts, _unnested(f"regexp_matches({_trim}, '^(-{{3,}}|={{3,}}|[*]{{3,}}|_{{3,}})$') OR regexp_matches({_trim}, '^[*_~]+$')"))
 _doc_query("doc_whitespace", markdown.clean_whitespace, "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t\\r]+(\\n|$)', '\\1', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS value FROM documents")
 _doc_query("doc_clean_markdown", markdown.clean_markdown, "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t\\r]+(\\n|$)', '\\1', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS value FROM documents")

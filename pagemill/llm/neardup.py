@@ -165,6 +165,27 @@ def components(edges: DataFrame) -> DataFrame | None:
         edges = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _shareable(sets: DataFrame) -> DataFrame:
+    """node, size, own: of each set its size and how many of its shingles are in another set too."""
+
+    def each(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                some = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1).slice(k, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).slice(k, 256).to_numpy(), [len(x) for x in some])), pa.array(np.concatenate(some))], names=["key", "shingle"])
+
+    keyed = sets.select(F.xxhash64("node").alias("key"), "shingles")
+    alone = keyed.mapInArrow(each, "key bigint, shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
+    size = (F.octet_length("shingles") / 8).cast("bigint")
+    return sets.select("node", F.xxhash64("node").alias("key"), size.alias("size")).join(alone, "key", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("own"))
+
+
+def _can_link(percent: int):
+    """Whether two sets could be similar enough: they have no more in common than either has in common with all others."""
+    most = F.least("own", "its_own")
+    return F.lit(100) * most >= F.lit(percent) * (F.col("size") + F.col("its_size") - most)
+
+
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """The labels after these further links."""
     if links.isEmpty():
@@ -193,25 +214,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     Plan: a sketch for each document; documents with equal sets become one node; nodes that share a key of a band may be
     linked. In each bucket one node, its centre, is compared with all others on full sets; components are formed; only where a
     bucket then still holds several components, further nodes of it become centres, more in each round, and meet those of other
-    components, until no bucket has a pair across components that was not compared. So the work is in proportion to the bucket
+    components, until no bucket has a pair across components that was not compared. Pairs are compared only if the shingles that
+    either shares with any other set at all would suffice for a link; that bound is exact, and rules out most copies that were
+    changed too much without a comparison. So the work is in proportion to the bucket
     where its nodes are alike, and no pair is left out. Sets are made only of nodes that share a bucket.
     """
     docs = slim(docs, "doc_id", "text")
     found = store(_sketched(docs, words, bands_for(percent, rows, miss), rows), "sketches")
-    nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    in_bands = nodes.select("node", "size", F.explode("bands").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.min_by("size", "node").alias("its_size")).where("centre != last").drop("last")
+    nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    in_bands = nodes.select("node", F.explode("bands").alias("band"))
+    shared = in_bands.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").drop("last")
     members = store(in_bands.join(shared, "band"), "members")
-    alike = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)  # noqa: E731  sizes of sets that can be linked
     labels = None
     if not members.isEmpty():
         met = members.select("node").distinct()
         ids = store(nodes.select("node", "doc_id").join(met, "node", "left_semi").select("doc_id"), "ids").withColumnRenamed("doc_id", "wanted")
-        sets = store(_sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), words).join(met, "node", "left_semi").dropDuplicates(["node"]), "sets")
-        pairs = store(members.where((F.col("node") != F.col("centre")) & alike("size", "its_size")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        sets = store(_sets(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), words).join(met, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        sizes = store(_shareable(sets), "sizes")
+        # a node that shares too few shingles with all others together has no link
+        members = members.join(sizes, "node").where(F.lit(100) * F.col("own") >= F.lit(percent) * F.col("size"))
+        of_centre = sizes.select(F.col("node").alias("centre"), F.col("size").alias("its_size"), F.col("own").alias("its_own"))
+        pairs = members.where("node != centre").join(of_centre, "centre").where(_can_link(percent)).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        pairs = store(pairs.distinct(), "pairs")
         compared = pairs
         labels = _merged(None, store(_verified(pairs, sets, percent), "links"))
-        members = members.select("band", "node", "size", (F.col("node") == F.col("centre")).alias("was_centre"))
+        members = members.select("band", "node", "size", "own", (F.col("node") == F.col("centre")).alias("was_centre"))
         centres = 1
         while True:
             if labels is None:
@@ -225,13 +252,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
             numbers = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
             rest = now.where("NOT was_centre").join(numbers, ["band", "label"])
             order = Window.partitionBy("band").orderBy("n", "label", "node")
-            chosen = store(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres).select("band", F.col("node").alias("chosen"), F.col("label").alias("its"), F.col("size").alias("its_size")), "centres")
-            pairs = now.join(chosen, "band").where((F.col("label") != F.col("its")) & alike("size", "its_size")).select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
+            chosen = store(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres).select("band", F.col("node").alias("chosen"), F.col("label").alias("its"), F.col("size").alias("its_size"), F.col("own").alias("its_own")), "centres")
+            pairs = now.join(chosen, "band").where((F.col("label") != F.col("its")) & _can_link(percent)).select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
             pairs = store(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
             labels = _merged(labels, store(_verified(pairs, sets, percent), "links"))
             compared = compared.union(pairs)
-            members = now.join(chosen.select("band", F.col("chosen").alias("node"), F.lit(True).alias("is")), ["band", "node"], "left").select("band", "node", "size", (F.col("was_centre") | F.coalesce("is", F.lit(False))).alias("was_centre"))
-            centres *= 4
+            members = now.join(chosen.select("band", F.col("chosen").alias("node"), F.lit(True).alias("is")), ["band", "node"], "left").select("band", "node", "size", "own", (F.col("was_centre") | F.coalesce("is", F.lit(False))).alias("was_centre"))
+            centres *= 16
     if labels is None:
         labels = found.select("node", F.col("node").alias("label")).limit(0)
     labelled = store(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "labelled")

@@ -249,15 +249,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
             now = store(now.join(left, "band", "left_semi"), "left")
             if now.isEmpty():
                 break
-            numbers = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-            rest = now.where("NOT was_centre").join(numbers, ["band", "label"])
-            order = Window.partitionBy("band").orderBy("n", "label", "node")
-            chosen = store(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres).select("band", F.col("node").alias("chosen"), F.col("label").alias("its"), F.col("size").alias("its_size"), F.col("own").alias("its_own")), "centres")
+            first = Window.partitionBy("band").orderBy("was_centre", "n", "label", "node")
+            now = store(now.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "label"))).withColumn("k", F.row_number().over(first)), "ranked")
+            now = now.withColumn("chosen_now", ~F.col("was_centre") & (F.col("k") <= centres))
+            chosen = now.where("chosen_now").select("band", F.col("node").alias("chosen"), F.col("label").alias("its"), F.col("size").alias("its_size"), F.col("own").alias("its_own"))
             pairs = now.join(chosen, "band").where((F.col("label") != F.col("its")) & _can_link(percent)).select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
             pairs = store(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
             labels = _merged(labels, store(_verified(pairs, sets, percent), "links"))
             compared = compared.union(pairs)
-            members = now.join(chosen.select("band", F.col("chosen").alias("node"), F.lit(True).alias("is")), ["band", "node"], "left").select("band", "node", "size", "own", (F.col("was_centre") | F.coalesce("is", F.lit(False))).alias("was_centre"))
+            members = now.select("band", "node", "size", "own", (F.col("was_centre") | F.col("chosen_now")).alias("was_centre"))
             centres *= 16
     if labels is None:
         labels = found.select("node", F.col("node").alias("label")).limit(0)

@@ -89,6 +89,12 @@ def _lookup(words: Words) -> _Numbers:
     return _numbers[key]
 
 
+def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the values of each of n rows."""
+    at = (rows[:, None] * SIZE + np.arange(SIZE)).ravel()
+    return np.bincount(at, values.ravel(), n * SIZE).reshape(n, SIZE)
+
+
 class Model:
     """Scores of the next class: (sum over the context of position's weights * vector of that class) . vector of the next + bias.
     One more context class stands for what is before the text."""
@@ -118,12 +124,12 @@ class Model:
         false = 1 / (1 + np.exp(-(h @ q[noise].T + b[noise] - log_noise[noise])))
         n = len(target)
         dh = (true[:, None] * q[target] + false @ q[noise]) / n
-        g = [np.zeros_like(x) for x in self.p]
-        np.add.at(g[0], context.ravel(), (dh[:, None] * w).reshape(-1, SIZE))
-        g[1] = (vectors * dh[:, None]).sum(axis=0)
-        np.add.at(g[2], target, true[:, None] * h / n)
-        np.add.at(g[2], noise, false.T @ h / n)
-        g[3] = (np.bincount(target, true, CLASSES) + np.bincount(noise, false.sum(axis=0), CLASSES)) / n
+        g = [
+            _summed(context.ravel(), (dh[:, None] * w).reshape(-1, SIZE), CLASSES + 1),
+            (vectors * dh[:, None]).sum(axis=0),
+            _summed(np.append(target, noise), np.vstack([true[:, None] * h, false.T @ h]) / n, CLASSES),
+            (np.bincount(target, true, CLASSES) + np.bincount(noise, false.sum(axis=0), CLASSES)) / n,
+        ]
         for x, d, s in zip(self.p, g, grown):
             s += d * d
             x -= RATE * d / (np.sqrt(s) + 1e-4)
@@ -132,18 +138,20 @@ class Model:
         """Normalised log10 probabilities of flat[at], by batched products with all classes' vectors."""
         r, w, q, b = (x.astype(np.float32) for x in self.p)
         placed = [r * w[j] for j in range(CONTEXT)]
+        qt = np.ascontiguousarray(np.vstack([q.T, b]))
         out = np.empty(len(at), np.float32)
-        qt = np.ascontiguousarray(q.T)
-        for k in range(0, len(at), 2048):
-            pos = at[k : k + 2048]
-            h = placed[0][flat[pos - 1]]
+        block = 1024
+        held, products, ones = np.ones((block, SIZE + 1), np.float32), np.empty((block, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+        for k in range(0, len(at), block):
+            pos = at[k : k + block]
+            h = held[: len(pos), :-1]
+            h[...] = placed[0][flat[pos - 1]]
             for j in range(1, CONTEXT):
                 h += placed[j][flat[pos - 1 - j]]
-            logits = h @ qt
-            logits += b
+            logits = np.matmul(held[: len(pos)], qt, out=products[: len(pos)])
             true = logits[np.arange(len(pos)), flat[pos]]
             np.exp(logits, out=logits)
-            out[k : k + 2048] = true - np.log(logits.sum(axis=1))
+            out[k : k + block] = true - np.log(logits @ ones)
         return out / np.float32(math.log(10))
 
 
@@ -165,25 +173,29 @@ def train_model(texts: DataFrame, shared, unigram: np.ndarray, rounds: int = ROU
             number, m = _lookup(words), Model(words.unigram)
             m.load(start)
             rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
-            grown, n, held = [np.full_like(x, 1e-3) for x in m.p], 0, []
+            grown, n, held, size, back = [np.full_like(x, 1e-3) for x in m.p], 0, [], 0, np.arange(CONTEXT + 1)
+
+            def step():
+                part = np.concatenate(held)
+                held.clear()
+                part = part[rng.permutation(len(part))]
+                for k in range(0, len(part), BATCH):
+                    m.train(part[k : k + BATCH, 1:], part[k : k + BATCH, 0], grown, rng)
+                return len(part)
+
             for _, some in by_bytes(batches, 0):
                 for t in some:
                     cut = t.lower().split() + [b""]
-                    for k in range(int(rng.integers(EVERY)), len(cut), EVERY):
-                        near = [number[w] for w in cut[max(0, k - CONTEXT) : k + 1]]
-                        near = [words.classes[i] if i >= 0 else _class_of(w) for i, w in zip(near, cut[max(0, k - CONTEXT) : k + 1])][::-1]
-                        held.append(near + [CLASSES] * (CONTEXT + 1 - len(near)))
-                while len(held) >= 16 * BATCH:
-                    part, held = np.array(held[: 16 * BATCH]), held[16 * BATCH :]
-                    part = part[rng.permutation(len(part))]
-                    for k in range(0, len(part), BATCH):
-                        m.train(part[k : k + BATCH, 1:], part[k : k + BATCH, 0], grown, rng)
-                    n += len(part)
-            if held:
-                part = np.array(held)[rng.permutation(len(held))]
-                for k in range(0, len(part), BATCH):
-                    m.train(part[k : k + BATCH, 1:], part[k : k + BATCH, 0], grown, rng)
-                n += len(part)
+                    ids = np.fromiter(map(number.__getitem__, cut), np.int64, len(cut))
+                    flat = np.append(np.full(CONTEXT, CLASSES), _classes(words, ids, cut))
+                    at = np.arange(CONTEXT + int(rng.integers(EVERY)), len(flat), EVERY)
+                    held.append(flat[at[:, None] - back])
+                    size += len(at)
+                    if size >= 16 * BATCH:
+                        n += step()
+                        size = 0
+            if size:
+                n += step()
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(m.flat() * n).tobytes()], pa.binary())], names=["n", "p"])
 

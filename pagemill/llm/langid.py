@@ -15,14 +15,15 @@ from .common import bounded_sample, by_bytes, fold, map_texts, out_batch, table
 SAMPLE, LONGEST = 1200, 100_000
 #: Of the sample's distinct words, so many of each language, the most frequent, go into the estimate.
 WORDS = 30_000
-#: Longer pieces of the vocabulary aren't used; words are cut into parts of at most PART characters.
-PIECE, PART = 6, 24
+#: Words are cut into parts of at most PART characters.
+PART = 24
 #: Rounds of expectation and maximisation; pseudo-count of each piece; probability of a character that no piece has.
 ROUNDS, PSEUDO, UNKNOWN = 3, 0.02, 1e-7
 #: Words whose scores a worker keeps.
 CACHE = 700_000
 UND = "und"
 _vocabularies: dict[str, dict[str, int]] = {}
+_beginnings: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
 
 
 def public_vocabulary(name: str = "piece_bpe_32k.model") -> str:
@@ -32,72 +33,74 @@ def public_vocabulary(name: str = "piece_bpe_32k.model") -> str:
 
 
 def vocabulary(path: str) -> dict[str, int]:
-    """The pieces of a public vocabulary of at most PIECE characters, by number; 0 is for characters that no piece has."""
+    """All pieces of a public vocabulary, by number; 0 is for characters that no piece has."""
     if path not in _vocabularies:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
-        _vocabularies[path] = {p: k for k, p in enumerate(sorted({p for p in pieces if len(p) <= PIECE}), 1)}
+        _vocabularies[path] = {p: k for k, p in enumerate(sorted(set(pieces)), 1)}
     return _vocabularies[path]
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """ids[w, end, n-1]: the piece that ends at this character of the word and has n characters (0: none; for n = 1, 0 stands
-    for an unknown character, -1 for beyond the end); and the words' lengths."""
-    sizes = np.array([len(w) for w in words])
-    longest = int(sizes.max(initial=1))
-    ids = np.zeros((len(words), longest, PIECE), np.int32)
-    get = pieces.get
-    rows, ends, ns, got = [], [], [], []
+def beginnings(pieces: dict[str, int]) -> dict[str, int]:
+    """The pieces' numbers, and 0 for each beginning of a piece that isn't one."""
+    if id(pieces) not in _beginnings:
+        _beginnings.clear()
+        _beginnings[id(pieces)] = pieces, {p[:n]: 0 for p in pieces for n in range(1, len(p))} | pieces
+    return _beginnings[id(pieces)][1]
+
+
+def lattice(words: list[str], pieces: dict[str, int]) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], np.ndarray]:
+    """The places of all pieces in the words: (end, n, rows, ids) by rising end, for the words that have there a piece of n
+    characters, whatever n (for n = 1, 0 stands for an unknown character); and the words' lengths."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    get = beginnings(pieces).get
+    found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
     for r, w in enumerate(words):
-        for end in range(1, len(w) + 1):
-            for n in range(1, min(PIECE, end) + 1):
-                if k := get(w[end - n : end]):
+        size = len(w)
+        for start in range(size):
+            end = start + 1
+            k = get(w[start])
+            if not k:
+                rows, ids = found.setdefault((end, 1), ([], []))
+                rows.append(r)
+                ids.append(0)
+            while k is not None:
+                if k:
+                    rows, ids = found.setdefault((end, end - start), ([], []))
                     rows.append(r)
-                    ends.append(end - 1)
-                    ns.append(n - 1)
-                    got.append(k)
-    ids[rows, ends, ns] = got
-    return ids, sizes
+                    ids.append(k)
+                end += 1
+                if end > size:
+                    break
+                k = get(w[start:end])
+    return [(end, n, np.array(found[end, n][0]), np.array(found[end, n][1])) for end, n in sorted(found)], sizes
 
 
-def forward(ids: np.ndarray, sizes: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward(places: list, sizes: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word and language the log of the sum, over all segmentations into pieces, of the product of their probabilities;
-    and the table of prefixes, alpha[end, word, language]. probability[0] is that of an unknown character, for a piece alone;
-    in the table, pieces that aren't there have none. Doubles reach: words have at most PART characters."""
-    n, longest, _ = ids.shape
-    alpha = np.zeros((longest + 1, n, probability.shape[1]))
+    and the table of prefixes, alpha[end, word, language]. probability[0] is that of an unknown character, for a piece alone.
+    Doubles reach: words have at most PART characters."""
+    n = len(sizes)
+    alpha = np.zeros((int(sizes.max(initial=1)) + 1, n, probability.shape[1]))
     alpha[0] = 1
-    for end in range(1, longest + 1):
-        live = np.flatnonzero(sizes >= end)
-        total = np.zeros((len(live), probability.shape[1]))
-        for k in range(1, min(PIECE, end) + 1):
-            which = ids[live, end - 1, k - 1]
-            if k == 1:
-                total += alpha[end - 1, live] * probability[which]
-            else:
-                some = np.flatnonzero(which)
-                total[some] += alpha[end - k, live[some]] * probability[which[some]]
-        alpha[end, live] = total
+    for end, k, rows, ids in places:
+        alpha[end, rows] += alpha[end - k, rows] * probability[ids]
     return np.log(alpha[sizes, np.arange(n)]), alpha
 
 
-def expected(ids, sizes, probability, weights) -> np.ndarray:
+def expected(places, sizes, probability, weights) -> np.ndarray:
     """Expected counts of the pieces by language over all segmentations (forward and backward); weights[word, language]."""
-    n, longest, _ = ids.shape
-    _, alpha = forward(ids, sizes, probability)
+    n = len(sizes)
+    _, alpha = forward(places, sizes, probability)
     beta = np.zeros_like(alpha)
     beta[sizes, np.arange(n)] = weights / alpha[sizes, np.arange(n)]
     counts = np.zeros_like(probability)
-    for end in range(longest, 0, -1):
-        live = np.flatnonzero(sizes >= end)
-        for k in range(1, min(PIECE, end) + 1):
-            which = ids[live, end - 1, k - 1]
-            some = np.arange(len(live)) if k == 1 else np.flatnonzero(which)
-            p = probability[which[some]]
-            np.add.at(counts, which[some], alpha[end - k, live[some]] * p * beta[end, live[some]])
-            beta[end - k, live[some]] += p * beta[end, live[some]]
+    for end, k, rows, ids in reversed(places):
+        p = probability[ids] * beta[end, rows]
+        np.add.at(counts, ids, alpha[end - k, rows] * p)
+        beta[end - k, rows] += p
     return counts
 
 

@@ -232,6 +232,29 @@ def test_forward_sums_all_segmentations():
     assert counts[4, 0] == pytest.approx((up[0, 0] - down[0, 0]) / h, rel=1e-3)
 
 
+def test_long_pieces_are_summed():
+    pieces = langid.vocabulary(langid.public_vocabulary())
+    assert max(map(len, pieces)) > 10 and {"▁people", "▁because", "▁should"} <= set(pieces)
+    p = np.random.default_rng(6).random((len(pieces) + 1, 2))
+
+    def brute(w, lang):
+        sums = [1.0]
+        for end in range(1, len(w) + 1):
+            sums.append(sum(sums[k] * p[pieces.get(w[k:end], 0), lang] for k in range(end) if w[k:end] in pieces or end - k == 1))
+        return sums[-1]
+
+    some = ["▁people", "▁because", "▁responsibilities", "▁x\u4e00\ue000because", "▁"]
+    score, _ = langid.forward(*langid.lattice(some, pieces), p)
+    assert score == pytest.approx(np.log([[brute(w, 0), brute(w, 1)] for w in some]))
+    small = {"▁": 1, "▁people": 2, "p": 3, "e": 4, "o": 5, "l": 6, "people": 7, "abcdefghijklmnop": 8}
+    q = np.random.default_rng(7).random((9, 1))
+    score, _ = langid.forward(*langid.lattice(["▁people", "abcdefghijklmnop"], small), q)
+    each = q[3] * q[4] * q[5] * q[3] * q[6] * q[4]
+    assert np.exp(score[:, 0]) == pytest.approx([(q[2] + q[1] * (q[7] + each))[0], (q[0] ** 2 * q[0] ** 2 * q[4] * q[0] ** 6 * q[6] * q[0] ** 2 * q[5] * q[3] + q[8])[0]])
+    counts = langid.expected(*langid.lattice(["▁people"], small), q, np.ones((1, 1)))
+    assert counts[2, 0] == pytest.approx((q[2] / np.exp(score[0]))[0])
+
+
 def test_warc(spark):
     page = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, None, "same"), (7, "http://b", None), (8, "http://c", ""), (9, "http://d", "x" * 300_000), (4, "http://e", "WARC/1.1\r\n\r\nContent-Length: 5\r\n"), (5, "http://a/5", "same"), (None, "u", "same"), (None, "u", "alone"), (11, "http://d", "y" * 70_000 + "é")]
     got = warc.warc_round_trip(spark.createDataFrame([(*p, 0) for p in page], "page_id long, url string, html string, payload int")).collect()

@@ -22,8 +22,8 @@ OWN, SHARED, SUFFIX = 384, 128, 3
 CLASSES = OWN + SHARED
 #: Words of context, sizes of the vectors, noise samples of a batch, examples in a batch.
 CONTEXT, SIZE, NOISE, BATCH = 5, 24, 96, 512
-#: Training takes every so manieth position of every training text in each round, and the tasks' parameters are averaged.
-EVERY, ROUNDS, RATE = 8, 2, 0.5
+#: Training takes every position of every training text in just one of so many rounds, and the tasks' parameters are averaged.
+ROUNDS, RATE = 2, 0.5
 MERGES = 64
 
 
@@ -89,10 +89,17 @@ def _lookup(words: Words) -> _Numbers:
     return _numbers[key]
 
 
+_places = np.arange((CLASSES + 1) * SIZE).reshape(CLASSES + 1, SIZE)
+
+
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """The sums of the values of each of n rows."""
-    at = (rows[:, None] * SIZE + np.arange(SIZE)).ravel()
-    return np.bincount(at, values.ravel(), n * SIZE).reshape(n, SIZE)
+    return np.bincount(_places.take(rows, axis=0).ravel(), values.ravel(), n * SIZE).reshape(n, SIZE)
+
+
+def positions(n: int, turn: int, rounds: int) -> np.ndarray:
+    """Of a text of n tokens those that are targets in this round: each is one in just one of the rounds."""
+    return np.arange((n + turn) % rounds, n, rounds)
 
 
 class Model:
@@ -118,16 +125,17 @@ class Model:
         r, w, q, b = self.p
         noise = rng.choice(CLASSES, NOISE, p=self.unigram)
         log_noise = np.log(NOISE * self.unigram)
-        vectors = r[context]
-        h = (vectors * w).sum(axis=1)
+        vectors = r.take(context, axis=0)
+        h = np.einsum("njd,jd->nd", vectors, w)
         true = 1 / (1 + np.exp(-((h * q[target]).sum(axis=1) + b[target] - log_noise[target]))) - 1
-        false = 1 / (1 + np.exp(-(h @ q[noise].T + b[noise] - log_noise[noise])))
+        held, drawn = h.astype(np.float32), q[noise].astype(np.float32)
+        false = 1 / (1 + np.exp(-(held @ drawn.T + (b[noise] - log_noise[noise]).astype(np.float32))))
         n = len(target)
-        dh = (true[:, None] * q[target] + false @ q[noise]) / n
+        dh = (true[:, None] * q[target] + false @ drawn) / n
         g = [
             _summed(context.ravel(), (dh[:, None] * w).reshape(-1, SIZE), CLASSES + 1),
-            (vectors * dh[:, None]).sum(axis=0),
-            _summed(np.append(target, noise), np.vstack([true[:, None] * h, false.T @ h]) / n, CLASSES),
+            np.einsum("njd,nd->jd", vectors, dh),
+            _summed(np.append(target, noise), np.vstack([true[:, None] * h, false.T @ held]) / n, CLASSES),
             (np.bincount(target, true, CLASSES) + np.bincount(noise, false.sum(axis=0), CLASSES)) / n,
         ]
         for x, d, s in zip(self.p, g, grown):
@@ -164,7 +172,8 @@ def _classes(words: Words, ids: np.ndarray, cut: list[bytes]) -> np.ndarray:
 
 def train_model(texts: DataFrame, shared, unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Each round, every task goes on from the same parameters over its own texts, and the results are averaged by the number of
-    examples: partial sums in MERGES tasks, then those on the driver."""
+    examples: partial sums in MERGES tasks, then those on the driver. After the last round every position of every text was a
+    target once."""
     spark, model = texts.sparkSession, Model(unigram)
 
     def learn(start: np.ndarray, turn: int):
@@ -188,7 +197,7 @@ def train_model(texts: DataFrame, shared, unigram: np.ndarray, rounds: int = ROU
                     cut = t.lower().split() + [b""]
                     ids = np.fromiter(map(number.__getitem__, cut), np.int64, len(cut))
                     flat = np.append(np.full(CONTEXT, CLASSES), _classes(words, ids, cut))
-                    at = np.arange(CONTEXT + int(rng.integers(EVERY)), len(flat), EVERY)
+                    at = CONTEXT + positions(len(cut), turn, rounds)
                     held.append(flat[at[:, None] - back])
                     size += len(at)
                     if size >= 16 * BATCH:

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import chat, common, langid, lm, media, mixing, neardup, packing, quality, toxicity, warc
@@ -431,3 +432,39 @@ def test_lm_is_normalised():
     flat = np.concatenate([np.full(lm.CONTEXT, lm.CLASSES), [3, 4, 5]])
     total = sum(10 ** m.log10(np.append(flat[:-1], k), np.array([len(flat) - 1]))[0] for k in range(lm.CLASSES))
     assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_trains_on_every_position(data, monkeypatch):
+    for n in range(9):
+        for rounds in (1, 2, 3):
+            assert sorted(k for turn in range(rounds) for k in lm.positions(n, turn, rounds)) == list(range(n))
+
+    class Local:
+        """What train_model() uses of a frame, in this process, so that what Model.train() is given can be counted."""
+
+        sparkSession = None
+
+        def __init__(self, batches):
+            self.batches = batches
+
+        def select(self, *names):
+            return self
+
+        repartition = select
+
+        def mapInArrow(self, f, kind):
+            return Local(list(f(iter(self.batches))))
+
+        def toArrow(self):
+            return pa.Table.from_batches(self.batches)
+
+    top = ["the", "cat", "", "w1", "le"]
+    shared = type("Shared", (), {"value": lm.Words([x.encode() for x in top], np.ones(len(top)), np.zeros(lm.SHARED), np.zeros(lm.SHARED), 5, 5)})
+    seen, want = collections.Counter(), collections.Counter()
+    monkeypatch.setattr(lm, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())}))
+    monkeypatch.setattr(lm.Model, "train", lambda self, context, target, grown, rng: seen.update(map(tuple, np.column_stack([target, context]).tolist())))
+    lm.train_model(Local([pa.RecordBatch.from_pydict({"text": pa.array([d[1] for d in data], pa.string())})]), shared, np.full(lm.CLASSES, 1 / lm.CLASSES))
+    for d in data:
+        ids = [lm.CLASSES] * lm.CONTEXT + [top.index(x) if x in top else lm._class_of(x.encode()) for x in words(lower(d[1])) + [""]]
+        want.update(tuple(ids[k - j] for j in range(lm.CONTEXT + 1)) for k in range(lm.CONTEXT, len(ids)))
+    assert seen == want

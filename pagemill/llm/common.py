@@ -89,13 +89,12 @@ def slim(docs: DataFrame, *names: str) -> DataFrame:
 
 def bounded_sample(df: DataFrame, stratum: str, rows: int, key: str = "doc_id") -> DataFrame:
     """For fitting classifiers: about `rows` rows of each value of `stratum` (fewer than 1.2 * rows + 100, all but surely),
-    picked by a hash of `key`; of the 256 most frequent values, null left out. So its size is bounded, and it may be broadcast."""
+    picked by a hash of `key`; of every value but null. So its size is bounded by the number of values, and with few of them it may
+    be broadcast."""
     here = df.where(F.col(stratum).isNotNull())
-    counts = here.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(256).collect()
-    share = F.lit(0.0)
-    for value, n in counts:
-        share = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, rows / n))).otherwise(share)
-    return here.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) < share * (1 << 20))
+    shares = here.groupBy(stratum).agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
+    picked = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)
+    return here.join(F.broadcast(shares), stratum).where(picked).select(*df.columns)
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

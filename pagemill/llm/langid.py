@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, by_bytes, fold, map_texts, out_batch, table
 
-#: At most about so many texts of each language are learned from, of at most so many bytes each.
+#: At most about so many texts of each language are learned from; of a longer text than so many bytes, its beginning.
 SAMPLE, LONGEST = 1200, 100_000
 #: Of the sample's distinct words, so many of each language, the most frequent, go into the estimate.
 WORDS = 30_000
@@ -19,7 +19,7 @@ WORDS = 30_000
 PART = 24
 #: Rounds of expectation and maximisation; pseudo-count of each piece; probability of a character that no piece has.
 ROUNDS, PSEUDO, UNKNOWN = 3, 0.02, 1e-7
-#: Words whose scores a worker keeps.
+#: Words whose scores a worker keeps, with up to 8 languages; fewer with more.
 CACHE = 700_000
 UND = "und"
 _vocabularies: dict[str, dict[str, int]] = {}
@@ -32,6 +32,11 @@ def public_vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def block(languages: int) -> int:
+    """Words whose tables of prefixes are held at once: fewer, the more languages there are."""
+    return max(64, 160_000 // max(8, languages))
+
+
 def vocabulary(path: str) -> dict[str, int]:
     """All pieces of a public vocabulary, by number; 0 is for characters that no piece has."""
     if path not in _vocabularies:
@@ -75,7 +80,7 @@ def lattice(words: list[str], pieces: dict[str, int]) -> tuple[list[tuple[int, i
                 if end > size:
                     break
                 k = get(w[start:end])
-    return [(end, n, np.array(found[end, n][0]), np.array(found[end, n][1])) for end, n in sorted(found)], sizes
+    return [(end, n, np.array(found[end, n][0], np.int32), np.array(found[end, n][1], np.int32)) for end, n in sorted(found)], sizes
 
 
 def forward(places: list, sizes: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +130,24 @@ def learn(texts: list[tuple[str, str]], path: str) -> Model | None:
     languages, pieces = sorted(words), vocabulary(path)
     kept = [dict(sorted(words[lang].items(), key=lambda x: (-x[1], x[0]))[:WORDS]) for lang in languages]
     distinct = sorted(set().union(*kept)) or ["▁"]
-    weights = np.array([[k.get(w, 0) for k in kept] for w in distinct], float)
+    number = {w: k for k, w in enumerate(distinct)}
+    rows = np.array([number[w] for k in kept for w in k], np.int64)
+    columns, values = np.repeat(np.arange(len(kept)), [len(k) for k in kept]), np.array([n for k in kept for n in k.values()], float)
+    order = np.argsort(rows, kind="stable")
+    rows, columns, values = rows[order], columns[order], values[order]
+    size = block(len(languages))
+
+    def weights(at: int, n: int) -> np.ndarray:
+        out, (a, b) = np.zeros((n, len(languages))), np.searchsorted(rows, [at, at + n])
+        out[rows[a:b] - at, columns[a:b]] = values[a:b]
+        return out
+
     counts = np.ones((len(pieces) + 1, len(languages)))
-    blocks = [(lattice(distinct[k : k + 20_000], pieces), weights[k : k + 20_000]) for k in range(0, len(distinct), 20_000)]
+    blocks = [(k, lattice(distinct[k : k + size], pieces)) for k in range(0, len(distinct), size)]
     for _ in range(ROUNDS):
         probability = (counts + PSEUDO) / (counts + PSEUDO).sum(axis=0)
         probability[0] = UNKNOWN
-        counts = sum(expected(ids, sizes, probability, w) for (ids, sizes), w in blocks)
+        counts = sum(expected(places, sizes, probability, weights(at, len(sizes))) for at, (places, sizes) in blocks)
         counts[0] = 0
     probability = (counts + PSEUDO) / (counts + PSEUDO).sum(axis=0)
     probability[0] = UNKNOWN
@@ -144,22 +160,23 @@ class Scorer:
 
     def __init__(self, model: Model, path: str):
         self.model, self.pieces, self.number = model, vocabulary(path), {}
+        self.block, self.cache = block(len(model.languages)), CACHE * 8 // max(8, len(model.languages))
         self.table = np.zeros((0, len(model.languages) + 1), np.float32)
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
         """Sums over the words of each text: log probabilities by language, and the number of words with a letter."""
         cut = [t.split() for t in texts]
-        if len(self.number) > CACHE:
+        if len(self.number) > self.cache:
             self.number, self.table = {}, self.table[:0]
         new = list(set().union(*cut).difference(self.number))
-        for at in range(0, len(new), 20_000):
-            some = [w.decode("utf-8", "replace") for w in new[at : at + 20_000]]
+        for at in range(0, len(new), self.block):
+            some = [w.decode("utf-8", "replace") for w in new[at : at + self.block]]
             pieces = [parts(w) for w in some]
             flat = [p for ps in pieces for p in ps]
             score, _ = forward(*lattice(flat, self.pieces), self.model.probability)
             starts = np.cumsum([0] + [len(p) for p in pieces[:-1]])
             rows = np.column_stack([np.add.reduceat(score, starts), [any(c.isalpha() for c in w) for w in some]])
-            self.number.update(zip(new[at : at + 20_000], range(len(self.table), len(self.table) + len(some))))
+            self.number.update(zip(new[at : at + self.block], range(len(self.table), len(self.table) + len(some))))
             self.table = np.concatenate([self.table, rows.astype(np.float32)])
         sizes = np.array([len(w) for w in cut])
         out = np.zeros((len(texts), self.table.shape[1]))
@@ -177,13 +194,15 @@ def identify_language(docs: DataFrame, path: str | None = None, sample: int = SA
     """doc_id, held_out, lang_pred, score, a row for each of docs (doc_id, text, lang and any more).
 
     Learned from texts with a non-null lang whose crc32(doc_id as text) mod `folds` isn't `held_out_fold`: about `sample` texts of
-    each language. lang_pred is the language of most posterior probability, given all words of the text, and score is that
+    each language, however many languages there are, of texts over LONGEST bytes the first LONGEST / 4 characters. lang_pred is the language of most posterior probability, given all words of the text, and score is that
     probability; und and 0 for a null text, one without a letter, or if there is nothing to learn from. Null doc_id: crc32 of
     the empty text decides. Repeated rows are rows of their own. With carry, row has the columns of docs.
     """
     path = path or public_vocabulary()
     apart = fold(F.col("doc_id"), folds) == held_out_fold
-    known = docs.where(~apart & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).select("doc_id", "text", "lang")
+    known = docs.where(~apart & F.col("text").isNotNull()).select(
+        "doc_id", F.when(F.octet_length("text") <= LONGEST, F.col("text")).otherwise(F.substring("text", 1, LONGEST // 4)).alias("text"), "lang"
+    )
     model = learn(list(bounded_sample(known, "lang", sample).select("lang", "text").toArrow().to_pandas().sort_values(["lang", "text"]).itertuples(index=False, name=None)), path)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])

@@ -256,6 +256,19 @@ def test_long_pieces_are_summed():
     assert counts[2, 0] == pytest.approx((q[2] / np.exp(score[0]))[0])
 
 
+def test_rare_languages_and_long_texts_are_learned(spark):
+    own = sorted(p[1:] for p in langid.vocabulary(langid.public_vocabulary()) if re.fullmatch("▁[a-z]{5,}", p))
+    data = [(k, f"{own[k // 2]} " * 20, f"l{k // 2:03}") for k in range(560)]
+    data += [(10_000 + k, "zażółć gęślą jaźń " * 8_000, "long") for k in range(6)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    assert common.bounded_sample(docs, "lang", 50).select("lang").distinct().count() == 281
+    assert common.bounded_sample(docs, "lang", 50).columns == docs.columns
+    got = {r.doc_id: r for r in langid.identify_language(docs).collect()}
+    trained = {lang for i, _, lang in data if not got[i].held_out}
+    assert len(trained) > 256 and "long" in trained
+    assert all(got[i].lang_pred == lang for i, _, lang in data if lang in trained)
+
+
 def test_warc(spark):
     page = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, None, "same"), (7, "http://b", None), (8, "http://c", ""), (9, "http://d", "x" * 300_000), (4, "http://e", "WARC/1.1\r\n\r\nContent-Length: 5\r\n"), (5, "http://a/5", "same"), (None, "u", "same"), (None, "u", "alone"), (11, "http://d", "y" * 70_000 + "é")]
     got = warc.warc_round_trip(spark.createDataFrame([(*p, 0) for p in page], "page_id long, url string, html string, payload int")).collect()

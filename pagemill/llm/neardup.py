@@ -219,6 +219,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     changed too much without a comparison. So the work is in proportion to the bucket
     where its nodes are alike, and no pair is left out. Sets are made only of nodes that share a bucket.
     """
+    return grouped(docs, words, percent, rows, miss).drop("group")
+
+
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """What near_duplicates() returns, and group: the same for the rows of a component whatever their ids, null only without shingles."""
     docs = slim(docs, "doc_id", "text")
     found = store(_sketched(docs, words, bands_for(percent, rows, miss), rows), "sketches")
     nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -263,20 +268,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         labels = found.select("node", F.col("node").alias("label")).limit(0)
     labelled = store(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "labelled")
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    of_node = labelled.join(least, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = labelled.join(least, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("label").alias("group"))
     out = found.select("doc_id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group")
 
 
 def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """docs but for all documents of a group other than the one with the smallest doc_id; of equal rows one stays."""
-    found = near_duplicates(docs, **settings)
-    gone = store(found.where("NOT kept").select("doc_id", "text_key").distinct(), "gone")
-    again = store(found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "again")
+    """One row of docs for each group: that of the smallest doc_id (nulls last), then the smallest text_key; of rows without
+    shingles one for each (doc_id, text_key)."""
+    found = grouped(docs, **settings).groupBy("doc_id", "text_key").agg(F.min("group").alias("group"), F.count(F.lit(1)).alias("n"))
+    found = store(found, "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("first")
+    picked = found.where("group IS NOT NULL").groupBy("group").agg(first).select("first.doc_id", "first.text_key", "first.n")
+    picked = store(picked.unionByName(found.where("group IS NULL").drop("group")), "picked")
+    again = picked.where("n > 1")
     keyed = docs.withColumns({"neardup_id": F.col("doc_id").cast("bigint"), "neardup_key": F.xxhash64("text")})
     same = lambda other: F.col("neardup_id").eqNullSafe(other["doc_id"]) & (F.col("neardup_key") == other["text_key"])
-    left = keyed.join(gone, same(gone), "left_anti")
+    left = keyed.join(picked, same(picked), "left_semi")
     if again.isEmpty():
         return left.select(*docs.columns)
     return left.join(again, same(again), "left_anti").unionByName(left.join(again, same(again), "left_semi").dropDuplicates(["neardup_id", "neardup_key"])).select(*docs.columns)

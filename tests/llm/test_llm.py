@@ -354,6 +354,18 @@ def test_without_near_duplicates(docs, data):
     assert collections.Counter(i for i in ids if i is not None) == collections.Counter(want - {None})
 
 
+def test_one_row_of_each_group_stays(spark):
+    near = [" ".join(f"w{i}" if i != 20 * k else "changed" for i in range(300)) for k in range(1, 5)]
+    other = [" ".join(f"v{i}" if i != 20 * k else "changed" for i in range(300)) for k in range(1, 4)]
+    third = [" ".join(f"u{i}" if i != 20 * k else "changed" for i in range(300)) for k in range(1, 4)]
+    data = [(None, x) for x in (*near, near[0])] + [(7, x) for x in (*other, other[1])] + [(None, third[0]), (9, third[1]), (8, third[2]), (8, third[2])]
+    data += [(None, None), (None, None), (None, ""), (5, ""), (5, ""), (6, "alone")]
+    left = collections.Counter((r.doc_id, r.text) for r in neardup.without_near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert sum(n for (i, t), n in left.items() if t in near) == 1 and sum(n for (i, t), n in left.items() if t in other) == 1
+    assert [(i, t, n) for (i, t), n in left.items() if t in third] == [(8, third[2], 1)]
+    assert left[(6, "alone")] == left[(5, "")] == 1 and sum(n for (i, t), n in left.items() if i is None and not t) in (1, 2)
+
+
 def test_hard_buckets(spark):
     """Copies around the threshold: chains of links that no centre sees at once."""
     rng = np.random.default_rng(3)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_batch, slim, table, utf8
+from .common import by_batch, slim, store, table, utf8
 
 #: Samples from one frame of the short-time Fourier transform to the next; a frame has twice as many.
 HOP = 192
@@ -114,8 +114,31 @@ def media_columns(docs: DataFrame, arrays: bool = True) -> DataFrame:
     return slim(docs, "doc_id", "text").mapInArrow(by_batch(make), DDL + ", media binary, pair_time array<int>, pair_hash array<bigint>" * arrays)
 
 
+def described(stored: DataFrame) -> DataFrame:
+    """The columns of FIELDS, but for doc_id and n_bytes all computed from stored files and arrays (doc_id, n_bytes, media, pair_time,
+    pair_hash)."""
+
+    def make():
+        schema = pa.schema(FIELDS)
+
+        def one(batch):
+            rows = []
+            for k in range(batch.num_rows):
+                media, times, codes = batch.column(2)[k].as_py(), batch.column(3)[k].values.to_numpy(), batch.column(4)[k].values.to_numpy()
+                back = unwav(media)
+                digest = hashlib.md5(times.astype("<i4").tobytes() + codes.astype("<i8").tobytes()).hexdigest()
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest, len(codes)))
+            columns = list(zip(*rows)) or [[]] * (len(schema) - 2)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[2:]))], schema=schema)
+
+        return one
+
+    return stored.select("doc_id", "n_bytes", *(name for name, _ in ARRAYS)).mapInArrow(by_batch(make), DDL)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"), arrays=False)
+    """The files and the time-coded arrays are stored, and the columns come from what is read from there."""
+    return described(store(media_columns(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", *(name for name, _ in ARRAYS)), "media"))
 
 
 QUERIES = {"op2_media_columns": op2_media_columns}

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import chat, common, langid, lm, media, mixing, neardup, packing, quality, toxicity, warc
 
@@ -110,6 +111,19 @@ def test_media(docs, data, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def test_media_query_stores_files_and_arrays(spark, docs, tmp_path, monkeypatch):
+    docs.drop("score", "kept", "row").write.parquet(f"{tmp_path}/documents.parquet")
+    stored = []
+    monkeypatch.setattr(media, "store", lambda df, name: stored.append(common.store(df, name)) or stored[-1])
+    got = media.op2_media_columns(spark, str(tmp_path))
+    assert len(stored) == 1 and {"media", "pair_time", "pair_hash"} <= set(stored[0].columns)
+    want = media.media_columns(docs)
+    rows = lambda df: collections.Counter(tuple(r) for r in df.collect())
+    assert rows(got) == rows(want.select(got.columns)) == rows(media.media_columns(docs, arrays=False))
+    changed = stored[0].limit(1).withColumn("pair_hash", F.slice("pair_hash", 1, 0)).withColumn("pair_time", F.slice("pair_time", 1, 0))
+    assert [(r.n_pairs, r.feature) for r in media.described(changed).collect()] == [(0, hashlib.md5(b"").hexdigest())]
+
+
 def test_fingerprint_blocks():
     x = bytes(np.random.default_rng(0).integers(0, 256, 192 * 2500, dtype=np.uint8))
     want = media.peaks(x)

@@ -249,7 +249,7 @@ FROM (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(rang
 
 @query("""SELECT doc_id, unnest(['https://h.example/d/' || doc_id, 'https://h.example/y', 'https://h.example/z']) AS link, unnest([0, 1, 2])::INT AS pos FROM documents""")
 def md_links(spark, sf_dir):
-    md = F.concat(F.lit("[a]("), F.col("doc_id").cast("string"), F.lit('.md "t") [o](https://other.example/) ![i](/i.png) <https://h.example/y#f> https://h.example/z [m](mailto:x@y)'))
+    md = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n[a]("), F.col("doc_id").cast("string"), F.lit('.md "t") [o](https://other.example/) ![i](/i.png) <https://h.example/y#f> https://h.example/z [m](mailto:x@y)'))
     return links.markdown_links(t(spark, sf_dir, "documents").select("doc_id", md.alias("markdown"), F.lit("https://h.example/d/x").alias("url"))).select("doc_id", "link", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("pos")).cast("int").alias("rank")).select("doc_id", "link", (F.col("rank") - 1).alias("pos"))
 
 

@@ -129,6 +129,17 @@ def test_page(spark):
     assert r[1].markdown == ""
 
 
+def test_md_links_reads_the_whole_text(spark, tmp_path):
+    from pagemill.plans import core_queries
+
+    texts = [(1, "plain"), (2, None), (3, "[k](/own) https://h.example/bare\n[e](https://else.example/)"), (4, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.pos, r.link) for r in core_queries.md_links(spark, str(tmp_path)).collect())
+    h = "https://h.example"
+    same = lambda k: [(k, 0, f"{h}/d/{k}"), (k, 1, f"{h}/y"), (k, 2, f"{h}/z")]
+    assert got == sorted([*same(1), *same(2), (3, 0, f"{h}/own"), (3, 1, f"{h}/d/3"), (3, 2, f"{h}/y"), (3, 3, f"{h}/bare"), (3, 4, f"{h}/z"), *same(4)])
+
+
 def test_markdown_links(spark):
     md = '[a](b.md "t") [c](https://h.example/c#x) ![i](/i.png) <https://h.example/d> https://h.example/e [o](https://other.example/) [m](mailto:x)'
     got = links.markdown_links(spark.createDataFrame([(md, "https://h.example/x/y")], "markdown string, url string")).orderBy("pos").collect()

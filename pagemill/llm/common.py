@@ -87,6 +87,11 @@ def slim(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(n).cast("bigint") if n in ("doc_id", "page_id", "conv_id") else F.col(n) for n in names))
 
 
+def named(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
 def bounded_sample(df: DataFrame, stratum: str, rows: int, key: str = "doc_id") -> DataFrame:
     """For fitting classifiers: about `rows` rows of each value of `stratum` (fewer than 1.2 * rows + 100, all but surely),
     picked by a hash of `key`; of every value but null. So its size is bounded by the number of values, and with few of them it may

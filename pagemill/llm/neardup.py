@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, slim, store, table
+from .common import by_bytes, named, slim, store, table
 
 #: Coordinates of a band, and how likely a pair at the threshold may be to share none of the bands; they are as many as that takes.
 ROWS, MISS = 7, 1e-6
@@ -49,6 +48,12 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _digest(some: np.ndarray) -> int:
+    """Of a set, as a signed number of 64 bits."""
+    h = xxhash.xxh64_intdigest(some.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """The fast similarity sketch (Dahlgaard, Knudsen and Thorup, 2017) of each non-empty set: t coordinates, of which two sets
     agree in any with probability their Jaccard similarity, with the concentration of independent samples.
@@ -97,8 +102,8 @@ def _trim() -> None:
 
 
 def _sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set) and bands; both null for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_key, n_shingles, node (a digest of the set) and bands; both null for an empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for b, texts in by_bytes(batches, 1):
@@ -108,23 +113,24 @@ def _sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             keys = iter(band_keys(sketches(full, bands * rows), bands, rows)) if full else iter(())
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ], schema=schema)
 
-    return docs.select("*", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>")
+    return docs.select("*", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """node and its full set, as packed sorted hashes."""
+    """node and its full set, as an array of sorted hashes."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b, texts in by_bytes(batches, 1):
+        for _, texts in by_bytes(batches, 1):
             _trim()
-            packed = [s.tobytes() for s in (shingles(t, k) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(p).digest() for p in packed], pa.binary()), pa.array(packed, pa.binary())], names=["node", "shingles"])
+            sets = [s for s in (shingles(t, k) for t in texts) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], schema.field(1).type)], schema=schema)
 
-    return docs.mapInArrow(run, "node binary, shingles binary")
+    return docs.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,18 +139,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(32)).cast("int"))
     right = salted.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     left = salted.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return right.join(left, ["a", "salt"]).select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    both = F.size(F.array_intersect("left", "right"))
+    return right.join(left, ["a", "salt"]).where(both * 100 >= (F.size("left") + F.size("right") - both) * percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame | None:
@@ -165,27 +161,6 @@ def components(edges: DataFrame) -> DataFrame | None:
         edges = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _shareable(sets: DataFrame) -> DataFrame:
-    """node, size, own: of each set its size and how many of its shingles are in another set too."""
-
-    def each(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                some = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1).slice(k, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).slice(k, 256).to_numpy(), [len(x) for x in some])), pa.array(np.concatenate(some))], names=["key", "shingle"])
-
-    keyed = sets.select(F.xxhash64("node").alias("key"), "shingles")
-    alone = keyed.mapInArrow(each, "key bigint, shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
-    size = (F.octet_length("shingles") / 8).cast("bigint")
-    return sets.select("node", F.xxhash64("node").alias("key"), size.alias("size")).join(alone, "key", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("own"))
-
-
-def _can_link(percent: int):
-    """Whether two sets could be similar enough: they have no more in common than either has in common with all others."""
-    most = F.least("own", "its_own")
-    return F.lit(100) * most >= F.lit(percent) * (F.col("size") + F.col("its_size") - most)
-
-
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """The labels after these further links."""
     if links.isEmpty():
@@ -201,6 +176,42 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return store(moved.union(further.join(labels, "node", "left_anti")), "labels")
 
 
+def _star(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of each bucket in members (band, node, n) one node, the centre, in a pair with each other one. The centre is the node that
+    shares its bands with most others, since of copies of one text that was changed here and there, the least changed does; a
+    pair whose sizes are too unequal for a link is left out."""
+    popular = F.shiftleft(F.least(F.sum("n"), F.lit((1 << 42) - 1)), 20)
+    ranked = members.groupBy("node").agg(popular.alias("rank")).withColumn("rank", F.col("rank") + F.pmod("node", F.lit(1 << 20))).join(sizes, "node")
+    members = store(members.select("band", "node").join(ranked, "node"), "ranked")
+    centres = members.groupBy("band").agg(F.max_by("node", "rank").alias("centre"), F.max_by("size", "rank").alias("its_size"))
+    alike = (F.col("node") != F.col("centre")) & (F.least("size", "its_size") * 100 >= F.greatest("size", "its_size") * percent)
+    return members.join(centres, "band").where(alike).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes in labelled (node, label) with unequal labels that could be linked, by an exact prefix filter.
+
+    Shingles are ordered by how many of the sets have them, the rarest first. Two sets whose similarity reaches t share a shingle
+    among the first (1 - t) * n + 1 of the larger and the first (1 - 2t / (1 + t)) * m + 1 of the smaller, n and m their sizes; and
+    what follows in either from that shingle on has to suffice for the link. Both are bounds, so no link is lost. Only shingles
+    that several of the sets have are ordered; the others come before them and only move positions.
+    """
+    mine = sets.join(labelled, "node")
+    each = store(mine.select("node", F.explode("shingles").alias("shingle")), "shingles")
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    of_node = Window.partitionBy("node")
+    placed = each.join(common, "shingle").withColumn("own", F.count(F.lit(1)).over(of_node)).withColumn("k", F.row_number().over(of_node.orderBy("df", "shingle")))
+    size = mine.select("node", "label", F.size("shingles").cast("bigint").alias("size"))
+    placed = placed.join(size, "node").withColumn("rest", F.col("own") - F.col("k") + 1)
+    # exact in integers: a set's shingles from a place on (rest) can suffice for a link with one no larger than percent of it allows
+    probe, index = F.col("rest") * 100 >= F.col("size") * percent, F.col("rest") * (100 + percent) >= F.col("size") * (2 * percent)
+    entries = store(placed.where(probe).select("shingle", "node", "label", "size", "rest", index.alias("looked_up")), "entries")
+    other = entries.where("looked_up").select(*(F.col(c).alias(f"its_{c}") for c in ("shingle", "node", "label", "size", "rest")))
+    smaller = (F.col("its_size") < F.col("size")) | ((F.col("its_size") == F.col("size")) & (F.col("its_node") < F.col("node")))
+    enough = F.least("rest", "its_rest") * (100 + percent) >= (F.col("size") + F.col("its_size")) * percent
+    return entries.join(other, (F.col("shingle") == F.col("its_shingle")) & (F.col("label") != F.col("its_label")) & smaller & enough).select(F.col("node").alias("a"), F.col("its_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """docs (doc_id, text) in groups of near-duplicates: doc_id, text_key (xxhash64 of the text), n_shingles, component_id, kept, a
     row for each row of docs.
@@ -209,15 +220,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     words all of them as one. Documents are linked if the similarity of their sets is at least `percent` hundredths, and
     component_id is the smallest doc_id reachable by links. Null or empty text: no shingles, linked with nothing. Null doc_id:
     never the smallest; a component of such rows alone has a null component_id and all are kept. Equal rows, and rows of equal
-    doc_id, are documents like others. kept: doc_id = component_id.
+    doc_id, are documents like others. kept: doc_id = component_id. An empty table gives no rows; further columns, whatever their
+    names, aren't read.
 
     Plan: a sketch for each document; documents with equal sets become one node; nodes that share a key of a band may be
-    linked. In each bucket one node, its centre, is compared with all others on full sets; components are formed; only where a
-    bucket then still holds several components, further nodes of it become centres, more in each round, and meet those of other
-    components, until no bucket has a pair across components that was not compared. Pairs are compared only if the shingles that
-    either shares with any other set at all would suffice for a link; that bound is exact, and rules out most copies that were
-    changed too much without a comparison. So the work is in proportion to the bucket
-    where its nodes are alike, and no pair is left out. Sets are made only of nodes that share a bucket.
+    linked. In each bucket one node, its centre, is compared with all others on full sets, and components are formed. Where a
+    bucket then still holds several components, its nodes go on to an exact prefix filter on their rarest shingles, which lists
+    those pairs of different components that could be linked, and they are compared on full sets too. So every pair of a bucket
+    was compared, is in one component, or can't be linked, while the work is in proportion to the buckets and to the pairs
+    that share rare shingles. Shingles, sets and bands are known by digests of 64 bits: of n different sets two are taken for
+    one with a probability of n * n / 2**65. Sets are made only of nodes that share a bucket.
     """
     return grouped(docs, words, percent, rows, miss).drop("group")
 
@@ -226,44 +238,26 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS
     """What near_duplicates() returns, and group: the same for the rows of a component whatever their ids, null only without shingles."""
     docs = slim(docs, "doc_id", "text")
     found = store(_sketched(docs, words, bands_for(percent, rows, miss), rows), "sketches")
-    nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = store(found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").drop("last")
+    shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = store(in_bands.join(shared, "band"), "members")
     labels = None
     if not members.isEmpty():
         met = members.select("node").distinct()
         ids = store(nodes.select("node", "doc_id").join(met, "node", "left_semi").select("doc_id"), "ids").withColumnRenamed("doc_id", "wanted")
-        sets = store(_sets(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), words).join(met, "node", "left_semi").dropDuplicates(["node"]), "sets")
-        sizes = store(_shareable(sets), "sizes")
-        # a node that shares too few shingles with all others together has no link
-        members = members.join(sizes, "node").where(F.lit(100) * F.col("own") >= F.lit(percent) * F.col("size"))
-        of_centre = sizes.select(F.col("node").alias("centre"), F.col("size").alias("its_size"), F.col("own").alias("its_own"))
-        pairs = members.where("node != centre").join(of_centre, "centre").where(_can_link(percent)).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        pairs = store(pairs.distinct(), "pairs")
-        compared = pairs
+        sets = _sets(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), words)
+        sets = store(sets.join(met, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        pairs = store(_star(members, sets.select("node", F.size("shingles").alias("size")), percent), "pairs")
         labels = _merged(None, store(_verified(pairs, sets, percent), "links"))
-        members = members.select("band", "node", "size", "own", (F.col("node") == F.col("centre")).alias("was_centre"))
-        centres = 1
-        while True:
-            if labels is None:
-                now = members.withColumn("label", F.col("node"))
-            else:
-                now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            left = now.where("NOT was_centre").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
-            now = store(now.join(left, "band", "left_semi"), "left")
-            if now.isEmpty():
-                break
-            first = Window.partitionBy("band").orderBy("was_centre", "n", "label", "node")
-            now = store(now.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "label"))).withColumn("k", F.row_number().over(first)), "ranked")
-            now = now.withColumn("chosen_now", ~F.col("was_centre") & (F.col("k") <= centres))
-            chosen = now.where("chosen_now").select("band", F.col("node").alias("chosen"), F.col("label").alias("its"), F.col("size").alias("its_size"), F.col("own").alias("its_own"))
-            pairs = now.join(chosen, "band").where((F.col("label") != F.col("its")) & _can_link(percent)).select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
-            pairs = store(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        now = members.select("band", "node").withColumn("label", F.col("node"))
+        if labels is not None:
+            now = members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
+        left = store(now.join(several, "band", "left_semi").select("node", "label").distinct(), "left")
+        if not left.isEmpty():
+            pairs = store(_prefix_pairs(left, sets, percent), "pairs")
             labels = _merged(labels, store(_verified(pairs, sets, percent), "links"))
-            compared = compared.union(pairs)
-            members = now.select("band", "node", "size", "own", (F.col("was_centre") | F.col("chosen_now")).alias("was_centre"))
-            centres *= 16
     if labels is None:
         labels = found.select("node", F.col("node").alias("label")).limit(0)
     labelled = store(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "labelled")
@@ -275,20 +269,21 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS
 
 
 def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """One row of docs for each group: that of the smallest doc_id (nulls last), then the smallest text_key; of rows without
-    shingles one for each (doc_id, text_key)."""
+    """One row of docs for each group, with all its columns: that of the smallest doc_id (nulls last), then the smallest text_key;
+    of rows without shingles (null, empty or blank text) one for each (doc_id, text_key). So of repeated rows one stays. An empty
+    table gives no rows; docs may have further columns of any names."""
     found = grouped(docs, **settings).groupBy("doc_id", "text_key").agg(F.min("group").alias("group"), F.count(F.lit(1)).alias("n"))
     found = store(found, "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("first")
     picked = found.where("group IS NOT NULL").groupBy("group").agg(first).select("first.doc_id", "first.text_key", "first.n")
     picked = store(picked.unionByName(found.where("group IS NULL").drop("group")), "picked")
     again = picked.where("n > 1")
-    keyed = docs.withColumns({"neardup_id": F.col("doc_id").cast("bigint"), "neardup_key": F.xxhash64("text")})
-    same = lambda other: F.col("neardup_id").eqNullSafe(other["doc_id"]) & (F.col("neardup_key") == other["text_key"])
+    keyed = docs.select(F.struct(*named(docs)).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"))
+    same = lambda other: F.col("id").eqNullSafe(other["doc_id"]) & (F.col("key") == other["text_key"])
     left = keyed.join(picked, same(picked), "left_semi")
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    return left.join(again, same(again), "left_anti").unionByName(left.join(again, same(again), "left_semi").dropDuplicates(["neardup_id", "neardup_key"])).select(*docs.columns)
+    if not again.isEmpty():
+        left = left.join(again, same(again), "left_anti").unionByName(left.join(again, same(again), "left_semi").dropDuplicates(["id", "key"]))
+    return left.select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

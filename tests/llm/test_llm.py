@@ -507,3 +507,40 @@ def test_lm_trains_on_every_position(data, monkeypatch):
         ids = [lm.CLASSES] * lm.CONTEXT + [top.index(x) if x in top else lm._class_of(x.encode()) for x in words(lower(d[1])) + [""]]
         want.update(tuple(ids[k - j] for j in range(lm.CONTEXT + 1)) for k in range(lm.CONTEXT, len(ids)))
     assert seen == want
+
+
+def test_copies_with_common_changes(spark, monkeypatch):
+    """A large group of near copies whose changed words come from a small vocabulary: few pairs are compared, no link is lost."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    data = []
+    for k in range(400):
+        w = list(base)
+        for j in rng.choice(120, rng.integers(1, 9), replace=False):
+            w[j] = f"x{rng.integers(6)}"
+        data.append((k, " ".join(w)))
+    compared, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, sets, percent: compared.append(pairs.count()) or verified(pairs, sets, percent))
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, c) for i, _, c in brute_components(data, 3, 85))
+    assert sum(compared) < 20 * len(data) < len(data) * (len(data) - 1) / 8
+
+
+def test_prefix_pairs_miss_no_link(spark):
+    rng = np.random.default_rng(9)
+    sets = [sorted(set(rng.integers(0, 40, rng.integers(1, 30)).tolist())) for _ in range(120)]
+    sets += [sorted({*s, int(rng.integers(40, 60))} - {s[0]} if len(s) > 6 else s) for s in sets[:60]]
+    table = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<bigint>")
+    labelled = spark.createDataFrame([(k, k % 50) for k in range(len(sets))], "node long, label long")
+    for percent in (50, 80, 85):
+        listed = neardup._prefix_pairs(labelled, table, percent)
+        got = {tuple(sorted((r.a, r.b))) for r in neardup._verified(listed, table, percent).collect()}
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if i % 50 != j % 50 and 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))}
+        assert got == want
+
+
+def test_without_near_duplicates_keeps_columns_of_any_name(spark):
+    data = [(1, "a b c d e f", 99, "x", 1.0), (2, "a b c d e f", 98, "y", 2.0), (3, None, 97, "z", 3.0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, neardup_id int, `a.b` string, `row` double")
+    left = neardup.without_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == [data[0], data[2]]

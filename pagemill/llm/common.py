@@ -65,6 +65,17 @@ def drop_stored() -> None:
             return
 
 
+_holder: list = []
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Says that this worker now keeps words looked up for the operator `name`; what it kept for another is let go, so that a
+    worker that serves several operators one after the other holds the words of one."""
+    if _holder and _holder[0] != name:
+        _holder[1]()
+    _holder[:] = [name, clear]
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 without decoding; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -117,11 +128,21 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_0
 
 
 def map_texts(docs: DataFrame, run, ddl: str, carry: bool, **more: Column) -> DataFrame:
-    """mapInArrow over (doc_id, text, *more) of docs. With carry, run also gets the whole row as the last column, `row`, and has
-    to return it after the columns of `ddl`, so that its decisions can be applied without a join."""
-    source = docs.select(F.col("doc_id").cast("bigint"), "text", *(c.alias(n) for n, c in more.items()), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    kind = T.StructType.fromDDL(ddl)
-    return source.mapInArrow(run, kind.add("row", docs.schema, False) if carry else kind)
+    """mapInArrow over (doc_id, text, *more) of docs, whatever the names of its other columns. With carry, run gets the whole row
+    as the last column, `row`, and has to return it after the columns of `ddl`, so that its decisions can be applied without a
+    join; the text then travels in the row only."""
+    kind, extra = T.StructType.fromDDL(ddl), [c.alias(n) for n, c in more.items()]
+    if not carry:
+        return docs.select(F.col("doc_id").cast("bigint"), "text", *extra).mapInArrow(run, kind)
+    at = [docs.schema.names.index(n) for n in ("doc_id", "text")]
+
+    def unpacked(batches):
+        for b in batches:
+            row = b.column(b.num_columns - 1)
+            doc_id, text = (row.field(k) for k in at)
+            yield pa.RecordBatch.from_arrays([doc_id.cast(pa.int64()), text, *b.columns], names=["doc_id", "text", *b.schema.names])
+
+    return docs.select(*extra, F.struct(*named(docs)).alias("row")).mapInArrow(lambda batches: run(unpacked(batches)), kind.add("row", docs.schema, False))
 
 
 def out_batch(b: pa.RecordBatch, schema: pa.Schema, columns: list, carry: bool) -> pa.RecordBatch:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, by_bytes, fold, map_texts, out_batch, table
+from .common import bounded_sample, by_bytes, fold, hold, map_texts, out_batch, table
 
 #: At most about so many texts of each language are learned from; of a longer text than so many bytes, its beginning.
 SAMPLE, LONGEST = 1200, 100_000
@@ -158,9 +159,9 @@ def learn(texts: list[tuple[str, str]], path: str) -> Model | None:
 class Scorer:
     """Scores of words by language, and whether they have a letter; keeps those of many words."""
 
-    def __init__(self, model: Model, path: str):
+    def __init__(self, model: Model, path: str, cache: int = CACHE):
         self.model, self.pieces, self.number = model, vocabulary(path), {}
-        self.block, self.cache = block(len(model.languages)), CACHE * 8 // max(8, len(model.languages))
+        self.block, self.cache = block(len(model.languages)), cache * 8 // max(8, len(model.languages))
         self.table = np.zeros((0, len(model.languages) + 1), np.float32)
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
@@ -187,16 +188,27 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[bytes, Scorer] = {}
 
 
-def identify_language(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, folds: int = 5, held_out_fold: int = 0, carry: bool = False) -> DataFrame:
+def _scorer(model: Model, path: str, cache: int = CACHE) -> Scorer:
+    """The worker's scorer of this model, which keeps words from task to task."""
+    hold("langid", _scorers.clear)
+    key = hashlib.md5(f"{path} {cache} {model.languages}".encode() + model.probability.tobytes()).digest()
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model, path, cache)
+    return _scorers[key]
+
+
+def identify_language(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, folds: int = 5, held_out_fold: int = 0, carry: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, a row for each of docs (doc_id, text, lang and any more).
 
     Learned from texts with a non-null lang whose crc32(doc_id as text) mod `folds` isn't `held_out_fold`: about `sample` texts of
     each language, however many languages there are, of texts over LONGEST bytes the first LONGEST / 4 characters. lang_pred is the language of most posterior probability, given all words of the text, and score is that
     probability; und and 0 for a null text, one without a letter, or if there is nothing to learn from. Null doc_id: crc32 of
-    the empty text decides. Repeated rows are rows of their own. With carry, row has the columns of docs.
+    the empty text decides. Repeated rows are rows of their own. An empty table gives no rows. A
+    worker keeps the scores of about `cache` words. With carry, row has the columns of docs.
     """
     path = path or public_vocabulary()
     apart = fold(F.col("doc_id"), folds) == held_out_fold
@@ -208,13 +220,8 @@ def identify_language(docs: DataFrame, path: str | None = None, sample: int = SA
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        scorer = None
-        if (m := shared.value) is not None:
-            key = hash(m.probability.tobytes())
-            if key not in _scorers:
-                _scorers.clear()
-                _scorers[key] = Scorer(m, path)
-            scorer = _scorers[key]
+        m = shared.value
+        scorer = None if m is None else _scorer(m, path, cache)
         for b, texts in by_bytes(batches, 1):
             if scorer is None:
                 lang, score = [UND] * len(texts), [0.0] * len(texts)

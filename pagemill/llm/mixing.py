@@ -111,14 +111,18 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each use of a document, range-sorted by training position; the one
-    document of a source that is taken in part is cut after its last word taken, and its n_chars follows."""
+    """The mix itself, with the columns of docs, of whatever names: a row for each use of a document, range-sorted by training
+    position; the one document of a source that is taken in part is cut after its last word taken, and its n_chars follows.
+    Null, empty and blank texts have no words and are never taken; an empty table gives no rows; for the rest see mix_sources()."""
+    kept = ("doc_id", "text", "source", "n_chars")
+    names = [c if c in kept else f"other_{k}" for k, c in enumerate(docs.columns)]
+    docs, given = docs.toDF(*names), docs.columns
     used = mix_sources(docs, **settings).select("*", F.explode("mix_passes").alias("mix_pass"))
     text = F.when(F.col("mix_pass.words") < F.col("mix_size"), first_words(F.col("text"), F.col("mix_pass.words"))).otherwise(F.col("text"))
     used = used.withColumn("text", text)
     if "n_chars" in docs.columns:
         used = used.withColumn("n_chars", F.when(F.col("mix_pass.words") < F.col("mix_size"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return used.orderBy("mix_pass.position", "doc_id").select(*docs.columns)
+    return used.orderBy("mix_pass.position", "doc_id").select(*(F.col(n).alias(c) for n, c in zip(names, given)))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, named, slim, store, table
+from .common import by_bytes, hold, named, slim, store, table
 
 #: Coordinates of a band, and how likely a pair at the threshold may be to share none of the bands; they are as many as that takes.
 ROWS, MISS = 7, 1e-6
@@ -97,6 +97,7 @@ def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 def _trim() -> None:
+    hold("neardup", _hashes.clear)
     if len(_hashes) > CACHE:
         _hashes.clear()
 

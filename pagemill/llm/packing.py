@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slim, store, table, utf8
+from .common import hold, slim, store, table, utf8
 
 CAPACITY = 4096
 END = (1).to_bytes(4, "little")
@@ -35,9 +35,10 @@ class Encoder:
     pre-tokeniser never join what white space separates, so words are encoded one by one, and a word's ids are kept; it always
     cuts between a letter and the punctuation after it, so these too are encoded apart."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
 
     def encode(self, words: list[bytes]) -> None:
@@ -48,7 +49,7 @@ class Encoder:
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         cut = [(t if b"<|" in t else t.lower()).split() for t in texts]  # a special token's string has lower case only
-        if len(self.new) > CACHE:
+        if len(self.new) > self.cache:
             self.new, self.old = {}, self.new
         new, old, unknown, joined = self.new, self.old, set(), []
         for word in set().union(*cut).difference(new):
@@ -73,23 +74,24 @@ class Encoder:
         return [b"".join(map(get, words)) for words in cut]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """One for each worker process, so that what it keeps lasts from task to task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    hold("packing", _encoders.clear)
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("dealt", pa.int32())])
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
     """docs (doc_id, text) tokenised and cut: pieces of `capacity` tokens, the last of a document shorter or equal. dealt is a
     running number in 0..GROUPS-1."""
 
     def run(batches):
-        ids_of, dealt = encoder(path).many, 37 * TaskContext.get().partitionId()
+        ids_of, dealt = encoder(path, cache).many, 37 * TaskContext.get().partitionId()
         for b in batches:
             at = 0
             while at < b.num_rows:
@@ -249,17 +251,17 @@ def rounded(histogram: dict[int, int], solved, capacity: int, grain: int, share:
     return sorted(found)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
     """docs (doc_id, text) as pieces in sequences of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset.
 
     Null or empty text: the end token alone. Null doc_id: a document like any other; a repeated row is packed again. Texts of
     any length are tokenised whole. Without rows there are none. Texts are read once and never shuffled: the pieces are stored
-    in the shared folder, their histogram (at most `capacity` rows) goes to the driver, and each piece finds its place by its
+    in the shared folder (a worker keeps the ids of about `cache` words), their histogram (at most `capacity` rows) goes to the driver, and each piece finds its place by its
     number among those of its length: a number within one of 256 groups, plus the sizes of the groups before.
     """
     spark = docs.sparkSession
-    found = store(pieces(docs, path or public_vocabulary(), capacity), "pieces")
+    found = store(pieces(docs, path or public_vocabulary(), capacity, cache), "pieces")
     sums = found.groupBy("length", "dealt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, by_bytes, fold, slim, table
+from .common import bounded_sample, by_bytes, fold, hold, slim, table
 
 #: At most about so many labelled texts of each label are learned from, of at most so many bytes each.
 SAMPLE, LONGEST = 1500, 100_000
@@ -247,7 +248,17 @@ class Scorer:
         return _sigmoid(np.clip((best.astype(float) if self.net.scale else best * 0.0) + self.net.shift, -30, 30))
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[bytes, Scorer] = {}
+
+
+def _scorer(net: Network) -> Scorer:
+    """The worker's scorer of this network, which keeps words from task to task."""
+    hold("toxicity", _scorers.clear)
+    key = hashlib.md5(b"".join(v.tobytes() for v in (net.word, net.gram, *net.p.values(), np.array([net.scale, net.shift])))).digest()
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(net)
+    return _scorers[key]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, folds: int = 4, held_out_fold: int = 2) -> DataFrame:
@@ -269,13 +280,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
-        net = shared.value
-        key = hash(net.p["U"].tobytes() + net.gram.tobytes())
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(net)
+        scorer = _scorer(shared.value)
         for b, texts in by_bytes(batches, 1, 1_000_000):
-            score = _scorers[key].scores(texts)
+            score = scorer.scores(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
     held = fold(F.col("doc_id"), folds) == held_out_fold

@@ -29,3 +29,27 @@ def test_stages(spark, folder):
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     assert docs.count() == corpus_pipeline.run(spark, folder).count()
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Dots and names that stages use themselves; nulls in any column."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    extra = {"a.b": "1.5D", "row": "'r'", "id": "doc_id + 1", "key": "2", "group": "null", "neardup_id": "99", "mix_size": "-1", "held_out": "'h'", "lang_pred": "'x'", "length": "7"}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("*", *(F.expr(e).alias(n) for n, e in extra.items()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns[-len(extra) :] == list(extra)
+        got = docs.collect()
+        assert got and all(r[-len(extra)] == 1.5 and r["neardup_id"] == 99 and r["mix_size"] == -1 and (r["id"] is None) == (r["doc_id"] is None) and r["row"] == "r" for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
+
+
+def test_empty_table(spark, folder):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 0

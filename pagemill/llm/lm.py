@@ -3,6 +3,7 @@ smoothed unigrams of all words."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -13,18 +14,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fold, slim, store, table
+from .common import by_bytes, fold, hold, slim, store, table
 
-#: At most so many of the most frequent words are sent to every worker with their counts; rarer words meet theirs in a join.
-HOT = 262_144
+#: At most so many of the most frequent words, of at most so many bytes each, are sent to every worker with their counts; all others
+#: meet theirs in a join.
+HOT, HOT_BYTES = 262_144, 64
 #: Classes: the most frequent words each have their own, all others share one with those that end in the same letters, by hash.
 OWN, SHARED, SUFFIX = 384, 128, 3
 CLASSES = OWN + SHARED
-#: Words of context, sizes of the vectors, noise samples of a batch, examples in a batch.
-CONTEXT, SIZE, NOISE, BATCH = 5, 24, 96, 512
-#: Training takes every position of every training text in just one of so many rounds, and the tasks' parameters are averaged.
+#: Words of context, sizes of the vectors, noise samples of a batch, positions in a batch.
+CONTEXT, SIZE, NOISE, BATCH = 5, 24, 96, 1536
+#: Training takes every text, with all its positions, in just one of so many rounds, and the tasks' parameters are averaged.
 ROUNDS, RATE = 2, 0.5
 MERGES = 64
+#: Bytes of text after which a task's table of counts is sent, so that long words don't fill it.
+FLUSH = 128_000_000
 
 
 def _class_of(word: bytes) -> int:
@@ -38,6 +42,7 @@ def count_words(texts: DataFrame, most: int = 300_000) -> DataFrame:
 
     def run(batches):
         counts: Counter = Counter()
+        size = 0
 
         def flush():
             words, n = list(counts), list(counts.values())
@@ -48,9 +53,11 @@ def count_words(texts: DataFrame, most: int = 300_000) -> DataFrame:
         for _, some in by_bytes(batches, 0):
             for t in some:
                 counts.update(t.lower().split())
+                size += len(t)
             counts[b""] += len(some)
-            if len(counts) > most:
+            if len(counts) > most or size > FLUSH:
                 yield from flush()
+                size = 0
         yield from flush()
 
     return texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -71,6 +78,7 @@ class Words:
         mass[: min(OWN, len(words))] = counts[:OWN]
         mass[OWN:] = shared_n
         self.unigram = (mass + 0.5) / (mass + 0.5).sum()
+        self.key = hashlib.md5(b"\n".join(words) + counts.tobytes()).digest()
 
 
 class _Numbers(dict):
@@ -78,15 +86,15 @@ class _Numbers(dict):
         return -1
 
 
-_numbers: dict[tuple, _Numbers] = {}
+_numbers: dict[bytes, _Numbers] = {}
 
 
 def _lookup(words: Words) -> _Numbers:
-    key = (len(words.words), words.log_all, float(words.counts[-1:].sum()))
-    if key not in _numbers:
+    hold("lm", _numbers.clear)
+    if words.key not in _numbers:
         _numbers.clear()
-        _numbers[key] = _Numbers(zip(words.words, range(len(words.words))))
-    return _numbers[key]
+        _numbers[words.key] = _Numbers(zip(words.words, range(len(words.words))))
+    return _numbers[words.key]
 
 
 _places = np.arange((CLASSES + 1) * SIZE).reshape(CLASSES + 1, SIZE)
@@ -97,14 +105,10 @@ def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(_places.take(rows, axis=0).ravel(), values.ravel(), n * SIZE).reshape(n, SIZE)
 
 
-def positions(n: int, turn: int, rounds: int) -> np.ndarray:
-    """Of a text of n tokens those that are targets in this round: each is one in just one of the rounds."""
-    return np.arange((n + turn) % rounds, n, rounds)
-
-
 class Model:
     """Scores of the next class: (sum over the context of position's weights * vector of that class) . vector of the next + bias.
-    One more context class stands for what is before the text."""
+    One more context class stands for what is before the text. Texts come as one run of classes, each behind CONTEXT of that
+    class, so that what is in the context of each position is found by shifting the run's vectors."""
 
     def __init__(self, unigram: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -120,42 +124,60 @@ class Model:
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def train(self, context: np.ndarray, target: np.ndarray, grown: list[np.ndarray], rng) -> None:
-        """Noise-contrastive estimation with noise from the unigrams, shared by a batch; Adagrad."""
-        r, w, q, b = self.p
-        noise = rng.choice(CLASSES, NOISE, p=self.unigram)
-        log_noise = np.log(NOISE * self.unigram)
-        vectors = r.take(context, axis=0)
-        h = np.einsum("njd,jd->nd", vectors, w)
-        true = 1 / (1 + np.exp(-((h * q[target]).sum(axis=1) + b[target] - log_noise[target]))) - 1
-        held, drawn = h.astype(np.float32), q[noise].astype(np.float32)
-        false = 1 / (1 + np.exp(-(held @ drawn.T + (b[noise] - log_noise[noise]).astype(np.float32))))
-        n = len(target)
-        dh = (true[:, None] * q[target] + false @ drawn) / n
-        g = [
-            _summed(context.ravel(), (dh[:, None] * w).reshape(-1, SIZE), CLASSES + 1),
-            np.einsum("njd,nd->jd", vectors, dh),
-            _summed(np.append(target, noise), np.vstack([true[:, None] * h, false.T @ held]) / n, CLASSES),
-            (np.bincount(target, true, CLASSES) + np.bincount(noise, false.sum(axis=0), CLASSES)) / n,
-        ]
+    def contexts(self, vectors: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """For each position from CONTEXT on the weighted sum of the vectors before it."""
+        n = len(vectors)
+        h = vectors[CONTEXT - 1 : n - 1] * w[0]
+        for j in range(1, CONTEXT):
+            h += vectors[CONTEXT - 1 - j : n - 1 - j] * w[j]
+        return h
+
+    def gradients(self, run: np.ndarray, noise: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """Of the noise-contrastive loss over all positions of a run of texts, which share the noise: by parameter, for the mean
+        position; and the number of positions."""
+        r, w, q, b = (x.astype(np.float32) for x in self.p)
+        target = run[CONTEXT:]
+        n, valid = len(run), target < CLASSES
+        if not (positions := int(valid.sum())):
+            return [], 0
+        goal, valid = np.where(valid, target, 0), valid.astype(np.float32)
+        offset = (self.p[3] - np.log(len(noise) * self.unigram)).astype(np.float32)
+        vectors, wanted, drawn = r[run], q[goal], q[noise]
+        h = self.contexts(vectors, w)
+        true = (1 / (1 + np.exp(-(np.einsum("nd,nd->n", h, wanted) + offset[goal]))) - 1) * valid
+        false = h @ drawn.T
+        false += offset[noise]
+        np.negative(false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.divide(valid[:, None], false, out=false)
+        dh = (true[:, None] * wanted + false @ drawn) / np.float32(positions)
+        dv, dw = np.zeros_like(vectors), np.empty_like(w)
+        for j in range(CONTEXT):
+            dv[CONTEXT - 1 - j : n - 1 - j] += dh * w[j]
+            dw[j] = np.einsum("nd,nd->d", vectors[CONTEXT - 1 - j : n - 1 - j], dh)
+        dq = _summed(goal, true[:, None] * h, CLASSES) + _summed(noise, false.T @ h, CLASSES)
+        return [_summed(run, dv, CLASSES + 1), dw, dq / positions, (np.bincount(goal, true, CLASSES) + np.bincount(noise, false.sum(axis=0), CLASSES)) / positions], positions
+
+    def train(self, run: np.ndarray, grown: list[np.ndarray], rng) -> int:
+        """A step by Adagrad, with noise from the unigrams; the number of positions."""
+        g, positions = self.gradients(run, rng.choice(CLASSES, NOISE, p=self.unigram))
         for x, d, s in zip(self.p, g, grown):
             s += d * d
             x -= RATE * d / (np.sqrt(s) + 1e-4)
+        return positions
 
     def log10(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of flat[at], by batched products with all classes' vectors."""
+        """Normalised log10 probabilities of flat[at] (at rises), by batched products with all classes' vectors."""
         r, w, q, b = (x.astype(np.float32) for x in self.p)
-        placed = [r * w[j] for j in range(CONTEXT)]
         qt = np.ascontiguousarray(np.vstack([q.T, b]))
         out = np.empty(len(at), np.float32)
         block = 1024
         held, products, ones = np.ones((block, SIZE + 1), np.float32), np.empty((block, CLASSES), np.float32), np.ones(CLASSES, np.float32)
         for k in range(0, len(at), block):
             pos = at[k : k + block]
-            h = held[: len(pos), :-1]
-            h[...] = placed[0][flat[pos - 1]]
-            for j in range(1, CONTEXT):
-                h += placed[j][flat[pos - 1 - j]]
+            first = pos[0] - CONTEXT
+            held[: len(pos), :-1] = self.contexts(r[flat[first : pos[-1] + 1]], w)[pos - pos[0]]
             logits = np.matmul(held[: len(pos)], qt, out=products[: len(pos)])
             true = logits[np.arange(len(pos)), flat[pos]]
             np.exp(logits, out=logits)
@@ -171,9 +193,9 @@ def _classes(words: Words, ids: np.ndarray, cut: list[bytes]) -> np.ndarray:
 
 
 def train_model(texts: DataFrame, shared, unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Each round, every task goes on from the same parameters over its own texts, and the results are averaged by the number of
-    examples: partial sums in MERGES tasks, then those on the driver. After the last round every position of every text was a
-    target once."""
+    """texts (text, turn): each round, every task goes on from the same parameters over its own texts of that turn, and the results
+    are averaged by the number of positions: partial sums in MERGES tasks, then those on the driver. After the last round every
+    position of every text was a target once."""
     spark, model = texts.sparkSession, Model(unigram)
 
     def learn(start: np.ndarray, turn: int):
@@ -182,29 +204,32 @@ def train_model(texts: DataFrame, shared, unigram: np.ndarray, rounds: int = ROU
             number, m = _lookup(words), Model(words.unigram)
             m.load(start)
             rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
-            grown, n, held, size, back = [np.full_like(x, 1e-3) for x in m.p], 0, [], 0, np.arange(CONTEXT + 1)
+            grown, n, held, size = [np.full_like(x, 1e-3) for x in m.p], 0, [], 0
+            pad = np.full(CONTEXT, CLASSES)
 
-            def step():
-                part = np.concatenate(held)
-                held.clear()
-                part = part[rng.permutation(len(part))]
-                for k in range(0, len(part), BATCH):
-                    m.train(part[k : k + BATCH, 1:], part[k : k + BATCH, 0], grown, rng)
-                return len(part)
+            def steps(most: int):
+                """Trains on runs of the held texts; what is left of the last one waits, but for most = 0."""
+                nonlocal n, size
+                flat = np.concatenate(held)
+                starts = np.arange(CONTEXT, len(flat), BATCH)
+                if most:
+                    starts = starts[starts + BATCH <= len(flat)]
+                for k in rng.permutation(starts):
+                    n += m.train(flat[k - CONTEXT : k + BATCH], grown, rng)
+                left = int(starts[-1]) + BATCH - CONTEXT if most else len(flat)
+                held[:] = [flat[left:]]
+                size = len(held[0])
 
             for _, some in by_bytes(batches, 0):
                 for t in some:
                     cut = t.lower().split() + [b""]
                     ids = np.fromiter(map(number.__getitem__, cut), np.int64, len(cut))
-                    flat = np.append(np.full(CONTEXT, CLASSES), _classes(words, ids, cut))
-                    at = CONTEXT + positions(len(cut), turn, rounds)
-                    held.append(flat[at[:, None] - back])
-                    size += len(at)
-                    if size >= 16 * BATCH:
-                        n += step()
-                        size = 0
+                    held += [pad, _classes(words, ids, cut)]
+                    size += CONTEXT + len(cut)
+                    if size >= 16 * BATCH + CONTEXT:
+                        steps(BATCH)
             if size:
-                n += step()
+                steps(0)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(m.flat() * n).tobytes()], pa.binary())], names=["n", "p"])
 
@@ -220,10 +245,9 @@ def train_model(texts: DataFrame, shared, unigram: np.ndarray, rounds: int = ROU
 
     kind = "n bigint, p binary"
     for turn in range(rounds):
-        found = texts.select("text").mapInArrow(learn(model.flat(), turn), kind).repartition(MERGES).mapInArrow(add, kind).toArrow()
-        if not found.num_rows:
-            break
-        model.load(sum(np.frombuffer(p.as_buffer()) for c in found.column("p").chunks for p in c) / sum(found.column("n").to_pylist()))
+        found = texts.where(F.col("turn") == turn).select("text").mapInArrow(learn(model.flat(), turn), kind).repartition(MERGES).mapInArrow(add, kind).toArrow()
+        if found.num_rows:
+            model.load(sum(np.frombuffer(p.as_buffer()) for c in found.column("p").chunks for p in c) / sum(found.column("n").to_pylist()))
     return model
 
 
@@ -235,23 +259,24 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, hot: in
     unknown words. score: by the model, P(class | five words before) times the word's add-half share of its class, again with
     one share of each class for its unknown words. So both are proper distributions over the known words and the unknown.
 
-    Counts are exact and of all training texts. The most frequent words (at most `hot`) are broadcast; the others, each no more
-    than a small share of all tokens, meet their counts in a shuffled join, so that the vocabulary may grow without bound.
+    Counts are exact and of all training texts. The most frequent words (at most `hot`, of at most HOT_BYTES each) are broadcast;
+    the others, each no more than a small share of all tokens, meet their counts in a shuffled join, so that the vocabulary may grow without bound.
     Null or empty text: the end alone. Null doc_id: its crc32 is that of the empty text. Repeated rows are scored alike and all
     returned. Without training texts N and V are 0 and the classes' model is what it begins with.
     """
     spark = docs.sparkSession
     rows = slim(docs, "doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), folds) == held_out_fold)
-    training = rows.where("NOT held_out").select("text")
+    training = rows.where("NOT held_out").select("text", F.pmod(F.xxhash64(F.lit("turn"), "doc_id", "text"), F.lit(ROUNDS)).alias("turn"))
     counts = store(count_words(training), "counts")
     level = F.floor(F.log2("n") * 16)
+    short = F.octet_length("word") <= HOT_BYTES
     sums = counts.groupBy(level.alias("level")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).orderBy(F.desc("level")).collect()
     total, distinct, seen, lowest = sum(r["n"] for r in sums), sum(r["v"] for r in sums), 0, 1 << 60
     for r in sums:
         if (seen := seen + r["v"]) > hot:
             break
         lowest = r["level"]
-    top = counts.where(level >= lowest).toArrow()
+    top = counts.where((level >= lowest) & short).toArrow()
     order = np.argsort(-top.column("n").to_numpy(), kind="stable")
     pairs = list(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
     pairs = sorted((pairs[k] for k in order), key=lambda x: (-x[1], x[0]))
@@ -305,7 +330,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, hot: in
 
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"), "held_out")
     parts = keyed.mapInArrow(run, "word binary, doc_id bigint, text_key bigint, held_out boolean, n bigint, tokens bigint, known bigint, base double, score double")
-    rare = counts.where(level < lowest).select("word", F.col("n").alias("c"))
+    rare = counts.where((level < lowest) | ~short).select("word", F.col("n").alias("c"))
     seen = parts.join(rare, "word", "left")
     is_text, log = F.col("tokens") > 0, F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     by_text = seen.groupBy("doc_id", "text_key", "held_out").agg(

@@ -473,18 +473,18 @@ def test_lm_is_normalised():
     assert total == pytest.approx(1, abs=1e-4)
 
 
-def test_lm_trains_on_every_position(data, monkeypatch):
-    for n in range(9):
-        for rounds in (1, 2, 3):
-            assert sorted(k for turn in range(rounds) for k in lm.positions(n, turn, rounds)) == list(range(n))
-
+def test_lm_trains_on_every_position(spark, data, monkeypatch):
     class Local:
         """What train_model() uses of a frame, in this process, so that what Model.train() is given can be counted."""
 
         sparkSession = None
 
-        def __init__(self, batches):
-            self.batches = batches
+        def __init__(self, batches, turns=None):
+            self.batches, self.turns = batches, turns
+
+        def where(self, condition):
+            turn = next(k for k in range(lm.ROUNDS) if condition._jc.toString() == (F.col("turn") == k)._jc.toString())
+            return Local([b.filter(pa.array([t == turn for t in self.turns])) for b in self.batches])
 
         def select(self, *names):
             return self
@@ -500,15 +500,89 @@ def test_lm_trains_on_every_position(data, monkeypatch):
     top = ["the", "cat", "", "w1", "le"]
     shared = type("Shared", (), {"value": lm.Words([x.encode() for x in top], np.ones(len(top)), np.zeros(lm.SHARED), np.zeros(lm.SHARED), 5, 5)})
     seen, want = collections.Counter(), collections.Counter()
+
+    def train(self, run, grown, rng):
+        some = np.flatnonzero(run[lm.CONTEXT :] < lm.CLASSES) + lm.CONTEXT
+        seen.update(map(tuple, run[some[:, None] - np.arange(lm.CONTEXT + 1)].tolist()))
+        return len(some)
+
     monkeypatch.setattr(lm, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())}))
-    monkeypatch.setattr(lm.Model, "train", lambda self, context, target, grown, rng: seen.update(map(tuple, np.column_stack([target, context]).tolist())))
-    lm.train_model(Local([pa.RecordBatch.from_pydict({"text": pa.array([d[1] for d in data], pa.string())})]), shared, np.full(lm.CLASSES, 1 / lm.CLASSES))
+    monkeypatch.setattr(lm.Model, "train", train)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([d[1] for d in data], pa.string())})
+    lm.train_model(Local([batch], [k % lm.ROUNDS for k in range(len(data))]), shared, np.full(lm.CLASSES, 1 / lm.CLASSES))
     for d in data:
         ids = [lm.CLASSES] * lm.CONTEXT + [top.index(x) if x in top else lm._class_of(x.encode()) for x in words(lower(d[1])) + [""]]
         want.update(tuple(ids[k - j] for j in range(lm.CONTEXT + 1)) for k in range(lm.CONTEXT, len(ids)))
     assert seen == want
 
 
+def test_lm_gradients():
+    rng = np.random.default_rng(2)
+    m = lm.Model(rng.dirichlet(np.ones(lm.CLASSES)))
+    pad = np.full(lm.CONTEXT, lm.CLASSES)
+    run = np.concatenate([pad, rng.integers(0, 9, 30), pad, rng.integers(0, 9, 20)])
+    noise = rng.integers(0, 20, 12)
+    at = [k for k in range(lm.CONTEXT, len(run)) if run[k] < lm.CLASSES]
+
+    def loss():
+        r, w, q, b = m.p
+        total = 0
+        for k in at:
+            h = sum(r[run[k - 1 - j]] * w[j] for j in range(lm.CONTEXT))
+            score = lambda c: h @ q[c] + b[c] - np.log(len(noise) * m.unigram[c])  # noqa: B023, E731
+            total += np.log1p(np.exp(-score(run[k]))) + sum(np.log1p(np.exp(score(c))) for c in noise)
+        return total / len(at)
+
+    g, n = m.gradients(run, noise)
+    assert n == len(at)
+    for x, d in zip(m.p, g):
+        for place in {tuple(int(rng.integers(s)) for s in x.shape) for _ in range(4)} | {tuple(np.argwhere(np.abs(d) == np.abs(d).max())[0])}:
+            old = x[place]
+            x[place] = old + 1e-4
+            high = loss()
+            x[place] = old - 1e-4
+            low = loss()
+            x[place] = old
+            assert d[place] == pytest.approx((high - low) / 2e-4, abs=2e-4, rel=2e-3)
+
+
+def test_lm_score_is_the_product_of_classes_and_shares(docs, data, monkeypatch):
+    """The model before training, so that brute force has the same one; shared classes, unknown words and rare ones occur."""
+    monkeypatch.setattr(lm, "train_model", lambda texts, shared, unigram: lm.Model(unigram))
+    counts = collections.Counter()
+    for d in data:
+        if zlib.crc32(str("" if d[0] is None else d[0]).encode()) % 5 != 1:
+            counts.update(words(lower(d[1])) + [""])
+    own = {w: k for k, w in enumerate(sorted(counts, key=lambda x: (-counts[x], x.encode()))[: lm.OWN])}
+    of = lambda w: own.get(w, lm._class_of(w.encode()))
+    n, v = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    for w, c in counts.items():
+        n[of(w)] += c
+        v[of(w)] += 1
+    r, w_, q, b = lm.Model((n + 0.5) / (n + 0.5).sum()).p
+    want = collections.Counter()
+    for d in data:
+        t = words(lower(d[1])) + [""]
+        if len(t) > 1000:
+            continue
+        ids, total = [lm.CLASSES] * lm.CONTEXT + [of(x) for x in t], 0.0
+        for k, x in enumerate(t):
+            h = sum(r[ids[k + lm.CONTEXT - 1 - j]] * w_[j] for j in range(lm.CONTEXT))
+            logits, c = q @ h + b, of(x)
+            total += (logits[c] - np.log(np.exp(logits).sum())) / math.log(10) + (0 if x in own else math.log10((counts[x] + 0.5) / (n[c] + 0.5 * (v[c] + 1))))
+        want[(d[0], len(t))] = total
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score_texts(docs).collect()}
+    assert all(got[k] == pytest.approx(x, rel=1e-4, abs=1e-3) for k, x in want.items())
+
+
+def test_lm_of_two_corpora_in_one_session(spark):
+    for a, b in (("aa", "bb"), ("xx", "yy")):
+        ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 != 1][:20]
+        got = lm.score_texts(spark.createDataFrame([(k, f"{a} {b} {a}") for k in ids], "doc_id long, text string").coalesce(1)).collect()
+        base = 2 * math.log10(40.5 / (80 + 0.5 * 4)) + 2 * math.log10(20.5 / (80 + 0.5 * 4))  # 20 texts of a, b, a and the end
+        assert {(r.n_known, round(r.base_score, 6)) for r in got} == {(4, round(base, 6))}
+
+
 def test_copies_with_common_changes(spark, monkeypatch):
     """A large group of near copies whose changed words come from a small vocabulary: few pairs are compared, no link is lost."""
     rng = np.random.default_rng(8)

@@ -23,6 +23,9 @@ LEARN_IDS = {
     "ms--content-header", "center-doc-outline", "side-doc-outline", "ms--ai-summary", "ms--inline-notifications", "article-metadata", "article-metadata-footer", "site-user-feedback-footer", "right-rail-training-mobile",
     "right-rail-recommendations-mobile", "right-rail-events-mobile", "ms--additional-resources-mobile", "action-panel",
 }
+#: What has a meaning in Markdown, anywhere in a text or where one begins, and gets a backslash.
+ESCAPED = re.compile(r"[\\*`\[\]_]")
+ESCAPED_FIRST = re.compile(r"\A(?:-|\+ |=+|#{1,6} |~~~|>|(\d+)\. )")
 LEARN_PARTS = {"permission-content-unauthorized-private", "learning-resource-card", "recommendations", "site-feedback-section", "open-source-feedback-section"}
 
 
@@ -71,9 +74,15 @@ class Builder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("html")
+        self.root, self.apart = Node("html"), 0
         self.open, self.formatting = [self.root], []
 
+    def handle_decl(self, decl):
+        self.apart += units(decl) + 3
+
+    def handle_comment(self, data):
+        self.apart += units(data) + 7
+
     def _add(self, x):
         self.open[-1].children.append(x)
 
@@ -126,6 +135,9 @@ class Builder(HTMLParser):
         if tag in VOID:
             self.open.pop()
         elif tag in FORMATTING:
+            alike = [n for n in self.formatting if n.tag == tag and n.attrs == node.attrs]
+            if len(alike) >= 3:  # as browsers do: of equal ones only the last three are opened again
+                self.formatting = [n for n in self.formatting if n is not alike[0]]
             self.formatting.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -150,11 +162,20 @@ class Builder(HTMLParser):
         self._add(data)
 
 
-def parse(html: str) -> Node:
+def units(text: str) -> int:
+    """Length in units of UTF-16."""
+    return len(text) + sum(c > "\uffff" for c in text) if not text.isascii() else len(text)
+
+
+def parsed(html: str) -> Builder:
     b = Builder()
     b.feed(html)
     b.close()
-    return b.root
+    return b
+
+
+def parse(html: str) -> Node:
+    return parsed(html).root
 
 
 def matches(node: Node, selector: str) -> bool:
@@ -171,10 +192,17 @@ def matches(node: Node, selector: str) -> bool:
 
 
 def inner_length(node: Node) -> int:
-    """About the length of the serialised contents."""
-    out = 0
-    for c in node.children:
-        out += len(c) if isinstance(c, str) else 2 + len(c.tag) + sum(len(k) + len(v) + 4 for k, v in c.attrs.items()) + (0 if c.tag in VOID else 3 + len(c.tag)) + inner_length(c)
+    """Length in UTF-16 units of the serialised contents."""
+    out, stack = 0, [(node.tag in RAW, c) for c in node.children]
+    while stack:
+        raw, x = stack.pop()
+        if isinstance(x, str):
+            out += units(x) if raw else units(x) + 4 * x.count("&") + 3 * (x.count("<") + x.count(">")) + 5 * x.count("\xa0")
+            continue
+        out += 2 + len(x.tag) + sum(4 + units(k) + units(v) + 4 * v.count("&") + 5 * (v.count('"') + v.count("\xa0")) for k, v in x.attrs.items())
+        if x.tag not in VOID:
+            out += 3 + len(x.tag)
+            stack += ((x.tag in RAW, c) for c in x.children)
     return out
 
 
@@ -233,7 +261,8 @@ def prepare(root: Node, host: str) -> None:
             for d in list(n.walk()):
                 if d.tag == "svg" or "hidden" in d.attrs or d.attrs.get("aria-hidden") == "true":
                     d.remove()
-            n.children = [" · ".join(_distinct(c if isinstance(c, str) else c.text() for c in n.children))]
+            if texts := _distinct(c.text() for c in n.children if isinstance(c, Node)):
+                n.children = [" · ".join(texts)]
     for n in list(root.walk()):
         if "hidden" in n.attrs and (any(d.tag in ("pre", "code", "dl") for d in n.walk()) or len(n.text()) > 100):
             del n.attrs["hidden"]
@@ -284,34 +313,60 @@ def _language(pre: Node, code: Node | None) -> str:
     return ""
 
 
+def written(steps) -> str:
+    """Runs a method of Writer: a generator that yields those it needs the results of, which run on a stack of their own, so that
+    elements may be nested to any depth."""
+    stack, got = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(got))
+            got = None
+        except StopIteration as end:
+            stack.pop()
+            got = end.value
+    return got
+
+
+def plain(text: str, first: bool = False) -> str:
+    """Text with its white space collapsed and what Markdown would read as a mark escaped; first: a block begins with it."""
+    text = re.sub(r"[ \t\r\n]+", " ", text)
+    text = ESCAPED.sub(r"\\\g<0>", text.lstrip(" ") if first else text)
+    return ESCAPED_FIRST.sub(lambda m: f"{m[1]}\\. " if m[1] else "\\" + m[0], text)
+
+
 class Writer:
+    """Markdown of a tree; the methods run by written()."""
+
     def __init__(self, base: str):
         self.base = base
 
-    def inline(self, node: Node) -> str:
-        return "".join(self.one(c) for c in node.children)
+    def inline(self, node: Node):
+        parts = []
+        for c in node.children:
+            parts.append(plain(c) if isinstance(c, str) else (yield self.one(c)))
+        return "".join(parts)
 
-    def block(self, node: Node) -> str:
+    def block(self, node: Node):
         """Children as blocks apart by blank lines, runs of inline content between them as paragraphs."""
         parts, run = [], []
         for c in node.children:
-            if isinstance(c, Node) and c.tag in BLOCKS:
+            if isinstance(c, str):
+                run.append(plain(c, not any(run)))
+            elif c.tag in BLOCKS:
                 parts.append("".join(run))
                 run = []
-                parts.append(self.one(c))
+                parts.append((yield self.one(c)))
             else:
-                run.append(self.one(c))
+                run.append((yield self.one(c)))
         parts.append("".join(run))
         return "\n\n".join(p for p in (re.sub(r"\A[ \n]+|[ \n]+\Z", "", x) for x in parts) if p)
 
-    def one(self, n) -> str:
-        if isinstance(n, str):
-            return re.sub(r"[ \t\r\n]+", " ", n)
+    def one(self, n: Node):
         t = n.tag
         if t in JUNK or t in ("head", "title") or _hidden(n):
             return ""
         if re.fullmatch("h[1-6]", t):
-            body = self.inline(n).strip()
+            body = (yield self.inline(n)).strip()
             return f"{'#' * int(t[1])} {body}" if body else ""
         if t == "pre":
             code = next((c for c in n.walk() if c.tag == "code"), None)
@@ -320,9 +375,9 @@ class Writer:
             body = n.text()
             return f"`{body}`" if body.strip() else ""
         if t in ("b", "strong", "em", "i"):
-            body = self.inline(n)
-            mark = "**" if t in ("b", "strong") else "*"
-            return re.sub(r"\A(\s*)(.*?)(\s*)\Z", rf"\1{mark}\2{mark}\3", body, flags=re.S) if body.strip() else body
+            body = yield self.inline(n)
+            mark, bare = "**" if t in ("b", "strong") else "*", body.strip()
+            return body.replace(bare, mark + bare + mark, 1) if bare else body
         if t == "br":
             return "  \n"
         if t == "hr":
@@ -331,27 +386,28 @@ class Writer:
             src = n.attrs.get("src", "")
             return f"![{n.attrs.get('alt', '')}]({src})" if src else ""
         if t == "a":
-            return self.link(n)
+            return (yield self.link(n))
         if t in ("ul", "ol"):
             items, k = [], int(n.attrs.get("start") or 1) if (n.attrs.get("start") or "1").isdigit() else 1
             for c in n.children:
                 if isinstance(c, Node) and not _hidden(c):
                     mark = "-   " if t == "ul" else f"{k}.  "
                     k += 1
-                    items.append(mark + self.block(c).replace("\n", "\n" + " " * len(mark)).strip())
+                    items.append(mark + (yield self.block(c)).replace("\n", "\n" + " " * len(mark)).strip())
             return "\n".join(items)
         if t == "blockquote":
-            return "\n".join(f"> {x}" if x else ">" for x in self.block(n).split("\n"))
+            return "\n".join(f"> {x}" if x else ">" for x in (yield self.block(n)).split("\n"))
         if t == "table":
-            return self.table(n)
-        return self.block(n) if t in BLOCKS else self.inline(n)
+            return (yield self.table(n))
+        return (yield self.block(n) if t in BLOCKS else self.inline(n))
 
-    def link(self, n: Node) -> str:
-        body, href = self.block(n) if any(isinstance(c, Node) and c.tag in BLOCKS for c in n.children) else self.inline(n).strip(), n.attrs.get("href", "").strip()
+    def link(self, n: Node):
+        blocks = any(isinstance(c, Node) and c.tag in BLOCKS for c in n.children)
+        body, href = (yield self.block(n) if blocks else self.inline(n)), n.attrs.get("href", "").strip()
         if not body.strip():
             return ""
         if not href:
-            return body
+            return body if blocks else body.strip()
         try:
             href = urljoin(self.base, href)
         except ValueError:
@@ -361,10 +417,16 @@ class Writer:
         first = re.sub(r"^#+\s+", "", lines[0])
         return f"[{first}]({href}{title})" + ("\n\n" + "\n\n".join(lines[1:]) if len(lines) > 1 else "")
 
-    def table(self, n: Node) -> str:
-        rows = [r for r in n.walk() if r.tag == "tr"]
-        cells = [[re.sub(r"\s*\n\s*", " ", self.block(c)).replace("|", r"\|").strip() for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in rows]
-        cells = [r for r in cells if r]
+    def table(self, n: Node):
+        cells = []
+        for r in n.walk():
+            if r.tag == "tr":
+                row = []
+                for c in r.children:
+                    if isinstance(c, Node) and c.tag in ("td", "th"):
+                        row.append(re.sub(r"\s*\n\s*", " ", (yield self.block(c))).replace("|", r"\|").strip())
+                if row:
+                    cells.append(row)
         if not cells:
             return ""
         lines = ["| " + " | ".join(r) + " |" for r in cells]
@@ -379,11 +441,23 @@ def clean(text: str) -> str:
     return re.sub(r"(?m)[^\S\n]+$", "", text).strip()
 
 
-def extract(html: str, url: str) -> tuple[str, str, list[str]]:
-    """Title, Markdown and links of a page."""
+def page_title(root: Node) -> str:
+    return next((re.sub(r"\s+", " ", n.text()).strip() for n in root.walk() if n.tag == "title"), "")
+
+
+def title_and_links(html: str, url: str) -> tuple[str, list[str]]:
+    """What extract() finds before any rule is applied."""
     root = parse(html or "")
-    title = next((re.sub(r"\s+", " ", n.text()).strip() for n in root.walk() if n.tag == "title"), "")
-    links = page_links(root, url or "")
+    return page_title(root), page_links(root, url or "")
+
+
+def extract(html: str, url: str) -> tuple[str, str, list[str], int]:
+    """Title, Markdown and links of a page, and the length of its HTML after the rules, in UTF-16 units (comments count, even where a
+    rule removed them)."""
+    built = parsed(html or "")
+    root = built.root
+    title, links = page_title(root), page_links(root, url or "")
     prepare(root, urlsplit(url or "").hostname or "")
-    body = clean(Writer(url or "").block(content_root(root)))
-    return title, body if body.startswith("# ") or not title else f"# {title}\n\n{body}", links
+    length = inner_length(root) + len("<html></html>") + built.apart if html else 0
+    body = clean(written(Writer(url or "").block(content_root(root))))
+    return title, body if body.startswith("# ") or not title else f"# {title}\n\n{body}", links, length

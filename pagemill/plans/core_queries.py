@@ -220,7 +220,7 @@ QUERIES["doc_filter_markdown"] = lambda spark, sf_dir: markdown.filter_markdown(
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title FROM pages""")
 def page_title(spark, sf_dir):
-    return extract.extract_markdown(t(spark, sf_dir, "pages")).select("page_id", "title")
+    return extract.titles_and_links(t(spark, sf_dir, "pages")).select("page_id", "title")
 
 
 @query()
@@ -235,7 +235,7 @@ def page_filter_markdown(spark, sf_dir):
 
 @query(f"WITH {LINKS_SQL} SELECT page_id, count(*)::BIGINT AS n FROM links GROUP BY page_id")
 def page_dom_links(spark, sf_dir):
-    return extract.extract_markdown(t(spark, sf_dir, "pages")).where(F.size("links") > 0).select("page_id", F.size("links").cast("bigint").alias("n"))
+    return extract.titles_and_links(t(spark, sf_dir, "pages")).where(F.size("links") > 0).select("page_id", F.size("links").cast("bigint").alias("n"))
 
 
 @query()

@@ -22,12 +22,26 @@ def extract_markdown(pages: DataFrame) -> DataFrame:
                 rows = [html.extract(h, u) for h, u in zip(hs, us)]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([len(h or "") for h in hs], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.int64()),
                 ], schema=SCHEMA)
 
     return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, "page_id bigint, url string, title string, markdown string, links array<string>, raw_html_length bigint")
 
 
+def titles_and_links(pages: DataFrame) -> DataFrame:
+    """page_id, title, links of pages (page_id, url, html), without the conversion."""
+    schema = pa.schema([("page_id", pa.int64()), ("title", pa.string()), ("links", pa.list_(pa.string()))])
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                rows = [html.title_and_links(h, u) for h, u in zip(part.column(2).to_pylist(), part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], schema=schema)
+
+    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, "page_id bigint, title string, links array<string>")
+
+
 def output_files(extracted: DataFrame, keep_query: bool = False, use_filter: bool = True) -> DataFrame:
     """host, rel_path, content: what the tree of files gets. Of pages with one path the last, by page_id, stays."""
     rows = extracted.select(urls.hostname(F.col("url")).alias("host"), urls.url_to_rel_path(F.col("url"), keep_query).alias("rel_path"), "page_id", F.col("markdown").alias("content"))

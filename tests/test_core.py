@@ -199,3 +199,85 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "page_outlinks" in entry.queries()
+
+
+def test_nesting_has_no_limit():
+    deep = "<div>" * 3000 + "<ul><li>" * 200 + "x" + "</div>" * 10
+    assert html.extract(f"<body>{deep}</body>", "https://h.example/")[1].strip().endswith("x")
+    assert "word" in html.extract("<body>" + "<p><b>word<br>" * 400 + "</body>", "https://h.example/")[1]
+
+
+def test_open_formatting_is_bounded():
+    out = html.extract("<body>" + "<p><b>word</p>" * 200 + "</body>", "https://h.example/")[1]
+    assert out.count("word") == 200 and len(out) < 200 * 30
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p>a*b [c] d_e `f` \\</p>", r"a\*b \[c\] d\_e \`f\` " + "\\\\"),
+        ("<p># no heading</p><p>1. no list</p><p>- no list</p><p>a # b</p>", "\\# no heading\n\n1\\. no list\n\n\\- no list\n\na # b"),
+        ("<pre><code>a*b</code></pre>", "```\na*b\n```"),
+        ("<p><code>a_b</code></p>", "`a_b`"),
+        ("<dl><dt>loose <span>a</span><span>b</span><span>a</span></dt></dl>", "a · b"),
+        ("<dl><dt>kept <span> </span></dt></dl>", "kept"),
+        ("<h2>a <a href='/x'>b</a></h2>", "## a b"),
+        ("<p>x<span class='sr-only'>gone</span></p><p data-markdown='remove'>gone</p>", "x"),
+        ("<div hidden><pre><code>kept</code></pre></div><div hidden>gone</div>", "```\nkept\n```"),
+        ("<div class='PageFeedback-1'>gone</div><p>x</p>", "x"),
+        ("<ul><li><h5>Example</h5><pre><code>a</code></pre></li></ul>", "-   ```\n    a\n    ```"),
+        ("<div class='cm-editor' data-language='js'><div class='cm-content'><div class='cm-line'>a</div><div class='cm-line'>b</div></div></div>", "```js\na\nb\n```"),
+        ("<div class='my-CodeBlock'><button>Copy</button><pre><code>a</code></pre></div>", "```\na\n```"),
+        ("<dl><dt><div class='PropertyDetail'><button>name</button></div><div class='PropertyDetail'><span>string</span> more</div></dt></dl>", "name · string"),
+    ],
+)
+def test_rules_of_pages(source, want):
+    assert html.extract(f"<html><body>{source}</body></html>", "https://h.example/p")[1] == want
+
+
+def test_learn_chrome_goes_from_its_host_only():
+    page = "<html><body><div id='article-metadata'>meta</div><p>x</p></body></html>"
+    assert html.extract(page, "https://learn.microsoft.com/a")[1] == "x"
+    assert html.extract(page, "https://h.example/a")[1] == "meta\n\nx"
+
+
+def test_raw_length_is_that_after_the_rules():
+    assert html.extract("<!DOCTYPE html><html><head></head><body><p>a&amp;b 😀</p></body></html>", "https://h.example/")[3] == len("<!DOCTYPE html><html><head></head><body><p>a&amp;b 😀</p></body></html>") + 1
+    assert html.extract("<html><body><p>x</p><i class='sr-only'>gone</i></body></html>", "https://h.example/")[3] == len("<html><body><p>x</p></body></html>")
+
+
+def test_deduplicate_against_lines_in_order():
+    """Against a plain reading of the rules: a paragraph or heading goes if it was there, then blank lines are merged."""
+    import random
+
+    pick = random.Random(4)
+    for _ in range(300):
+        text = "\n".join(pick.choice(["a", "b", " a ", "", "", "# h", "## h", "### k", "#tag", "```", "\u00a0"]) for _ in range(pick.randrange(1, 25)))
+        want, seen, run, code = [], set(), [], False
+        for line in [*text.split("\n"), None]:
+            bare = None if line is None else line.strip()
+            prose = bool(bare) and not code and bare[0] != "#" and bare[:3] != "```"
+            if run and not prose:
+                if (k := "\n".join(run).strip()) not in seen:
+                    want += run
+                seen.add(k)
+                run = []
+            if line is None:
+                break
+            if prose:
+                run.append(line)
+            elif code or bare[:3] == "```":
+                code ^= bare[:3] == "```"
+                want.append(line)
+            elif not bare:
+                want += [""] if want and want[-1] != "" else []
+            elif not (bare[:2] in ("# ", "##") and bare[:3] != "###" and " " in bare[:3]) or ("h", bare) not in seen:
+                seen.add(("h", bare))
+                want.append(line)
+        assert markdown.deduplicate_text(text) == "\n".join(want), text
+
+
+def test_dropping_lines_reads_texts_without_a_match_as_they_are(spark):
+    texts = ["a > b > c", "x\n  a > b > c \ny", "a >\nb >\nc", "a > b\n> c", "```\na > b > c\n```", "plain", "", "\u00a0![x](y)\u2003\nz", "a\r> b > c"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(markdown.drop_lines(F.col("t"), markdown.NAVIGATION_LINES)).collect()]
+    assert got == ["", "x\ny", "a >\nb >\nc", "a > b\n> c", "```\na > b > c\n```", "plain", "", "z", ""]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates, urls
+from .shared import kept
 
 
 @dataclass
@@ -33,16 +32,6 @@ class CrawlResult:
     scope: str
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage: written to the folder that the cluster shares, and read from there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp())
-    df.write.parquet(path := f"{folder.rstrip('/')}/crawl-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def enqueue(links: DataFrame, seen: DataFrame, start: str, scope: str, options: CrawlOptions, room: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From links (url, link, ord) the next frontier (url, score), what the budget leaves out (url), and what is filtered out
     (url, reason). Ties of score are broken by the order of discovery, then by URL. Only `room` rows of the frontier meet in one
@@ -53,7 +42,7 @@ def enqueue(links: DataFrame, seen: DataFrame, start: str, scope: str, options:
     fresh = fresh.withColumn("reason", predicates.reject_reason(F.col("link"), F.lit(scope), options.robots, options.include, options.exclude))
     filtered = fresh.where("reason IS NOT NULL").select("url", "reason")
     scored = fresh.where("reason IS NULL").select("url", "ord", urls.prefix_score(F.col("url"), urls.pathname(start_col)).cast("double").alias("score"))
-    frontier = _kept(scored.orderBy(F.desc("score"), "ord", "url").limit(max(0, room)).select("url", "score"))
+    frontier = kept(scored.orderBy(F.desc("score"), "ord", "url").limit(max(0, room)).select("url", "score"), "frontier")
     return frontier, scored.join(frontier, "url", "left_anti").select("url"), filtered
 
 
@@ -62,7 +51,7 @@ def crawl(start: str, links: DataFrame, options: CrawlOptions | None = None, ind
     options, spark = options or CrawlOptions(), links.sparkSession
     first = spark.range(1).select(urls.normalize_url(F.lit(start), options.keep_query).alias("url"), urls.default_scope(urls.hostname(F.lit(start)), urls.pathname(F.lit(start))).alias("scope")).first()
     scope = options.scope or first["scope"]
-    seen = _kept(spark.createDataFrame([(first["url"], 0, float("inf"))], "url string, depth int, score double"))
+    seen = kept(spark.createDataFrame([(first["url"], 0, float("inf"))], "url string, depth int, score double"), "seen")
     frontier = seen.select("url")
     none = spark.createDataFrame([], "url string")
     capped, filtered, count = none, none.withColumn("reason", F.lit("")), 1
@@ -73,9 +62,9 @@ def crawl(start: str, links: DataFrame, options: CrawlOptions | None = None, ind
             out = links.join(frontier, "url", "left_semi").select("url", "link", F.col("ord").cast("bigint").alias("ord"))
         new, over, dropped = enqueue(out, seen, start, scope, options, options.max_urls - count)
         n = new.count()
-        capped, filtered = _kept(capped.union(over).distinct()), _kept(filtered.union(dropped).distinct())
+        capped, filtered = kept(capped.union(over).distinct(), "capped"), kept(filtered.union(dropped).distinct(), "filtered")
         if n:
-            seen = _kept(seen.union(new.select("url", F.lit(depth).alias("depth"), "score")))
+            seen = kept(seen.union(new.select("url", F.lit(depth).alias("depth"), "score")), "seen")
         frontier, count = (new.select("url") if depth else seen.select("url")), count + n
         if not n and depth:
             break
@@ -85,9 +74,9 @@ def crawl(start: str, links: DataFrame, options: CrawlOptions | None = None, ind
 def reachable(edges: DataFrame, start: str, depth: int) -> DataFrame:
     """url, depth: the least number of edges (src, dst) from the start, up to `depth`."""
     spark = edges.sparkSession
-    seen = _kept(spark.createDataFrame([(start, 0)], "url string, depth int"))
+    seen = kept(spark.createDataFrame([(start, 0)], "url string, depth int"), "seen")
     for k in range(1, depth + 1):
-        new = _kept(edges.join(seen.where(F.col("depth") == k - 1).select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti"))
+        new = kept(edges.join(seen.where(F.col("depth") == k - 1).select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti"), "new")
         if new.isEmpty():
             break
         seen = seen.union(new.select("url", F.lit(k).alias("depth")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import predicates, urls
+from .shared import kept
 
 HREF = r"""<[aA]\s(?:[^>]*?\s)?[hH][rR][eE][fF]\s*=\s*"([^"]*)\""""
 #: Text, address and title of a Markdown link.
@@ -110,8 +111,10 @@ def rewrite_broken_links(files: DataFrame) -> DataFrame:
 
 
 def fix_links(files: DataFrame, keep_query: bool = False) -> DataFrame:
-    """files after both rewritings, with changed: whether a file's content is another than before."""
-    after = rewrite_broken_links(rewrite_absolute_links(files, keep_query))
+    """files after both rewritings, with changed: whether a file's content is another than before. What files is computed from is
+    computed once, and the result is read from stored tables only, so that the tree of files may be overwritten with it."""
+    files = kept(files.select("host", "rel_path", "content"), "files")
+    after = rewrite_broken_links(kept(rewrite_absolute_links(files, keep_query), "files"))
     return after.join(files.select("host", "rel_path", F.col("content").alias("before")), ["host", "rel_path"]).select("host", "rel_path", "content", (F.col("content") != F.col("before")).alias("changed"))
 
 

@@ -169,4 +169,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_warc": op7_warc}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_warc": r"""
+WITH payloads AS (SELECT page_id::BIGINT AS page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digested AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM payloads),
+bits AS (SELECT hex, unhex(hex)::BIT::VARCHAR AS b FROM (SELECT DISTINCT hex FROM digested)),
+digests AS (SELECT hex, array_to_string(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(5), lambda j: substr(b, (5 * k + j + 1)::BIGINT, 1)::INTEGER * (16 >> j::INTEGER))))::BIGINT, 1)), '') AS payload_digest FROM bits),
+tops AS (SELECT hex, max(page_id) AS top FROM digested GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM digested JOIN digests USING (hex) JOIN tops USING (hex)
+"""
+}

@@ -27,9 +27,12 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one is made only where none is set, as in tests."""
+    """The folder that all executors share, as the cluster names it; one is made only where none is set in a local session, as in
+    tests. On a cluster that is an error: no folder of one machine is there for the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -84,14 +84,20 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def by_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: make() runs once a task, and what it returns once for each slice of up to 256 rows."""
+def by_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], most: int = 8_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: make() runs once a task, and what it returns once for each slice of up to 256 rows and about `most` bytes, or
+    one larger row alone; in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                yield one(batch.slice(at, 256))
+            waiting = [batch.slice(at, 256) for at in reversed(range(0, batch.num_rows, 256))]
+            while waiting:
+                part = waiting.pop()
+                if (n := part.num_rows) > 1 and part.nbytes > most:
+                    waiting += [part.slice(n // 2), part.slice(0, n // 2)]
+                else:
+                    yield one(part)
 
     return run
 

@@ -618,3 +618,12 @@ def test_without_near_duplicates_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, neardup_id int, `a.b` string, `row` double")
     left = neardup.without_near_duplicates(docs)
     assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == [data[0], data[2]]
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["x" * n for n in (10, 5000, 3, 0, 900, 901, 20_000, 1, 1)] + ["y"] * 700
+    seen = []
+    run = common.by_batch(lambda: lambda part: seen.append((part.num_rows, part.nbytes)) or part, most=2000)
+    out = list(run(iter([pa.RecordBatch.from_pydict({"text": texts[:400]}), pa.RecordBatch.from_pydict({"text": texts[400:]})])))
+    assert [t for b in out for t in b.column(0).to_pylist()] == texts
+    assert all(rows <= 256 and (rows == 1 or size <= 2000) for rows, size in seen)

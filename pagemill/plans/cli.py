@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates, urls
 from ..operators import crawl, links
+from ..operators.shared import kept
 from ..sources import store
 from . import extract
 
@@ -46,30 +47,50 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def addresses(pages: DataFrame, keep_query: bool) -> DataFrame:
+    """url, key: under which keys a crawl finds a page, its own address and, where no page has that, the one with the trailing slash
+    toggled, which is tried when a page isn't there."""
+    own = pages.select("url", urls.normalize_url(F.col("url"), keep_query).alias("key")).distinct()
+    other = own.select("url", urls.alternate_slash(F.col("key")).alias("key")).join(own.select("key").distinct(), "key", "left_anti")
+    return own.unionByName(other)
+
+
 def run_crawl(spark: SparkSession, args) -> dict:
     pages = spark.read.parquet(args.pages)
-    found = links.html_links(pages).select(urls.normalize_url(F.col("url"), args.keep_query_strings).alias("url"), "link", F.col("pos").alias("ord"))
+    keys = addresses(pages, args.keep_query_strings)
+    found = links.html_links(pages).join(keys, "url").select(F.col("key").alias("url"), "link", F.col("pos").alias("ord"))
     options = crawl.CrawlOptions(
         args.depth, args.max_urls, predicates.parse_patterns(args.include), predicates.parse_patterns(args.exclude), args.restrict_path_override, args.keep_query_strings,
         [] if args.ignore_robots else predicates.parse_robots(args.robots or ""),
     )
     result = crawl.crawl(args.url, found, options)
-    wanted = pages.withColumn("key", urls.normalize_url(F.col("url"), args.keep_query_strings)).join(result.seen.select(F.col("url").alias("key")), "key", "left_semi").drop("key")
+    hit = keys.join(result.seen.select(F.col("url").alias("key")), "key", "left_semi").select("url").distinct()
+    wanted, held = pages.join(hit, "url", "left_semi").select("page_id", "url", "html"), None
+    if not args.no_cache and store.exists(spark, store.cache_location()):
+        cached, missed = store.with_cache(wanted, store.cache_read(spark, store.cache_location()))
+        held = cached.drop("url").join(wanted.select("page_id", "url", urls.cache_key(F.col("url")).alias("key")), "key")
+        wanted = missed
     extracted = extract.extract_markdown(wanted)
-    good = extracted.where(~predicates.is_error_page(F.col("markdown")))
+    good = kept(extracted.where(~predicates.is_error_page(F.col("markdown"))), "pages")
+    from_cache = 0
+    if held is not None:
+        held = kept(held.select(F.col("page_id").cast("bigint"), *good.columns[1:]), "cached")
+        from_cache = held.count()
     if not args.no_cache_write:
         store.cache_write(good, store.cache_location())
+    if held is not None:
+        good = good.unionByName(held)
     files = extract.output_files(good, args.keep_query_strings, not args.no_filter)
     if args.name:
         files = files.withColumn("host", F.lit(args.name))
-    return store.write_tree(files, args.output).first().asDict() | crawl.summary(result, pages).first().asDict() | {"scope": result.scope}
+    return store.write_tree(files, args.output).first().asDict() | crawl.summary(result, keys.select(F.col("key").alias("url"))).first().asDict() | {"from_cache": from_cache, "scope": result.scope}
 
 
 def run_links(spark: SparkSession, args):
     host = args.hostname or args.dir.rstrip("/").rsplit("/", 1)[-1]
     files = store.read_tree(spark, args.dir, host)
     if args.fix:
-        fixed = links.fix_links(files, args.keep_query_strings).where("changed").cache()
+        fixed = links.fix_links(files, args.keep_query_strings).where("changed")
         n = fixed.count()
         store.write_tree(fixed.withColumn("host", F.lit(".")), args.dir).first()
         print(f"{n} files changed")

@@ -29,6 +29,11 @@ def cache_location(name: str = "PAGEMILL") -> str:
     return os.path.join(os.path.expanduser("~"), ".cache", own)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def cache_write(pages: DataFrame, path: str) -> None:
     """Appends pages (url, title, markdown, links, raw_html_length) as entries, by host name; the latest of a key counts."""
     rows = pages.select(

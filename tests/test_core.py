@@ -281,3 +281,24 @@ def test_dropping_lines_reads_texts_without_a_match_as_they_are(spark):
     texts = ["a > b > c", "x\n  a > b > c \ny", "a >\nb >\nc", "a > b\n> c", "```\na > b > c\n```", "plain", "", "\u00a0![x](y)\u2003\nz", "a\r> b > c"]
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(markdown.drop_lines(F.col("t"), markdown.NAVIGATION_LINES)).collect()]
     assert got == ["", "x\ny", "a >\nb >\nc", "a > b\n> c", "```\na > b > c\n```", "plain", "", "z", ""]
+
+
+def test_crawl_command_reads_the_cache_and_tries_the_other_slash(spark, tmp_path, monkeypatch):
+    from pagemill.plans import cli
+
+    page = "<html><head><title>{0}</title></head><body><p>" + "text of {0} " * 30 + "</p>{1}</body></html>"
+    rows = [
+        (1, "https://h.example/d/", page.format("start", '<a href="/d/a">a</a><a href="/d/b/">b</a><a href="/d/none">n</a>')),
+        (2, "https://h.example/d/a", page.format("first", "")),
+        (3, "https://h.example/d/b", page.format("second", '<a href="/d/c">c</a>')),
+        (4, "https://h.example/d/c", page.format("third", "")),
+        (5, "https://h.example/d/other", page.format("other", "")),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    monkeypatch.setenv("PAGEMILL_CACHE_DIR", f"{tmp_path}/cache")
+    call = lambda out, *more: cli.run_crawl(spark, cli.parser().parse_args(["crawl", "https://h.example/d/", "--pages", f"{tmp_path}/pages", "-o", f"{tmp_path}/{out}", "-d", "2", *more]))
+    first = call("one")
+    assert (first["files"], first["pages"], first["errors"], first["from_cache"]) == (4, 4, 1, 0)
+    again = call("two")
+    assert (again["files"], again["pages"], again["from_cache"]) == (4, 4, 4) and again["total_bytes"] == first["total_bytes"]
+    assert {r.rel_path for r in store.read_tree(spark, f"{tmp_path}/two/h.example", "h.example").collect()} == {"d.md", "d/a.md", "d/b.md", "d/c.md"}

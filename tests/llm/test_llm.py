@@ -270,6 +270,44 @@ def test_long_pieces_are_summed():
     assert counts[2, 0] == pytest.approx((q[2] / np.exp(score[0]))[0])
 
 
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    """In logarithms: the same as by doubles where those reach, as brute force beyond, whatever the strips."""
+    pieces = langid.vocabulary(langid.public_vocabulary())
+    rng = np.random.default_rng(8)
+    p = rng.random((len(pieces) + 1, 2)) * 1e-6
+
+    def brute(w):
+        sums = [np.zeros(2)]
+        for end in range(1, len(w) + 1):
+            terms = [sums[k] + np.log(p[pieces.get(w[k:end], 0)]) for k in range(max(0, end - 20), end) if w[k:end] in pieces or end - k == 1]
+            sums.append(np.logaddexp.reduce(terms))
+        return sums[-1]
+
+    some = ["▁people", "▁" + "because" * 30, "▁" + "".join(rng.choice(list("aeinrst\u4e00\ue000"), 700)), "▁", "x" * 64, "▁responsibilities"]
+    for strip in (langid.STRIP, 1):
+        monkeypatch.setattr(langid, "STRIP", strip)
+        assert langid.forward_logs(some, pieces, np.log(p)) == pytest.approx(np.array([brute(w) for w in some]))
+    short, weights = [some[0], some[3]], np.array([[2.0, 0.0], [1.0, 3.0]])
+    places = langid.lattice(short, pieces)
+    assert langid.expected_logs(*places, np.log(p), weights) == pytest.approx(langid.expected(*places, p, weights))
+    assert langid.runs([25, 26, 90, 200], 60) == [(0, 2), (2, 3), (3, 4)] and langid.runs([], 9) == []
+
+
+def test_posterior_is_that_of_whole_words():
+    """What a text's score is made of, against the model's own numbers, with a word of 300 characters."""
+    path = langid.public_vocabulary()
+    model = langid.learn([("en", " ".join(EN) + " " + "thehouse" * 40), ("fr", " ".join(FR))], path)
+    assert model.probability[1:].sum(axis=0) == pytest.approx(1, abs=1e-4)  # the rest is the pseudo-count of an unknown character
+    said = ["the cat " + "lamaison" * 38 + " 12", "le chien", "", "the the"]
+    sums = langid.Scorer(model, path).texts([t.encode() for t in said])
+    pieces = langid.vocabulary(path)
+    for text, row in zip(said, sums):
+        logs = sum((langid.forward_logs([langid.marked(w)], pieces, np.log(model.probability))[0] for w in text.split()), np.zeros(2))
+        assert row[1] - row[0] == pytest.approx(logs[1] - logs[0], rel=1e-4, abs=1e-4)
+        assert row[2] == sum(any(c.isalpha() for c in w) for w in text.split())
+    assert sums[1][1] > sums[1][0] and sums[3][0] > sums[3][1]
+
+
 def test_rare_languages_and_long_texts_are_learned(spark):
     own = sorted(p[1:] for p in langid.vocabulary(langid.public_vocabulary()) if re.fullmatch("▁[a-z]{5,}", p))
     data = [(k, f"{own[k // 2]} " * 20, f"l{k // 2:03}") for k in range(560)]

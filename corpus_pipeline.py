@@ -55,8 +55,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality), ("near_dedup", near_dedup), ("mix_sources", mix), ("pack", packing)]
-#: Learned models and tokenizers have no SQL. Tests check the stages' columns and row counts, and that run() agrees with the stages in a row;
-#: which rows it keeps isn't held against brute force.
+#: Learned models and tokenizers have no SQL. Tests hold the rows of every stage and of run() against brute force on a small corpus.
 ORACLE_SQL = None
 
 

@@ -119,7 +119,10 @@ _url_query("url_cache_key", lambda: urls.cache_key(u()), "substr(sha256(url), 1,
 _url_query("url_hostname", lambda: urls.directory_name(u()), host("url"))
 _url_query("url_group_depth", lambda: urls.group_key(u(), 2), group("url", 2))
 _url_query("url_scope", lambda: urls.is_in_scope(u(), F.lit(SCOPE)), f"({path('url')} = '{SCOPE}' OR starts_with({path('url')}, '{SCOPE}/'))")
-_url_query("url_default_scope", lambda: urls.default_scope(urls.hostname(u()), urls.pathname(u())), "'/'")
+_url_query(
+    "url_default_scope", lambda: (lambda x: urls.default_scope(urls.hostname(x), urls.pathname(x)))(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://github.com"), urls.pathname(u()))).otherwise(u())),
+    f"CASE WHEN page_id % 2 = 0 AND len({seg(path('url'))}) >= 2 THEN '/' || array_to_string(list_slice({seg(path('url'))}, 1, 2), '/') ELSE '/' END",
+)
 _url_query("url_alternate", lambda: urls.alternate_slash(u()), "CASE WHEN ends_with(url, '/') THEN left(url, length(url) - 1) ELSE url || '/' END")
 _url_query("url_shorten", lambda: urls.shorten_url(u()), f"{host('url')} || CASE WHEN length({path('url')}) > 50 THEN left({path('url')}, 25) || '...' || right({path('url')}, 22) ELSE {path('url')} END")
 _url_query("url_outlink_key", lambda: urls.outlink_key(u()), f"{origin('url')} || {path('url')}")
@@ -174,15 +177,23 @@ def frontier_reachability(spark, sf_dir):
     return crawl.reachable(edges, "r0", 4)
 
 
-@query()
+SITE = "https://docs.example.org"
+
+
+@query(f"""WITH tree AS (SELECT '{SITE}/docs/' AS url, '{SITE}/docs/r' || n_regionkey || '/' AS link, n_nationkey AS ord FROM nation
+  UNION ALL SELECT '{SITE}/docs/r' || n_regionkey || '/', '{SITE}/docs/r' || n_regionkey || '/n' || n_nationkey, n_nationkey FROM nation
+  UNION ALL SELECT '{SITE}/docs/r' || n_regionkey || '/', '{SITE}/blog/n' || n_nationkey, n_nationkey + 100 FROM nation),
+rated AS (SELECT url, link, min(ord) AS ord, starts_with(link, '{SITE}/docs/')::INT::DOUBLE AS score FROM tree GROUP BY url, link),
+one AS MATERIALIZED (SELECT link AS url, min(ord) AS ord, max(score) AS score FROM rated WHERE url = '{SITE}/docs/' GROUP BY link ORDER BY score DESC, ord, url LIMIT 19),
+two AS (SELECT link AS url, min(ord) AS ord, max(score) AS score FROM rated WHERE url IN (SELECT url FROM one) AND link NOT IN (SELECT url FROM one) GROUP BY link ORDER BY score DESC, ord, url LIMIT (SELECT 19 - count(*) FROM one))
+SELECT '{SITE}/docs/' AS url, 0 AS depth, 'infinity'::DOUBLE AS score UNION ALL SELECT url, 1, score FROM one UNION ALL SELECT url, 2, score FROM two""")
 def crawl_priority_budget(spark, sf_dir):
     """A tree of addresses made from the nations: those nearest to the start come first within the budget."""
     n = t(spark, sf_dir, "nation")
-    site = "https://docs.example.org"
-    page = lambda *parts: F.concat(F.lit(site), *(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    page = lambda *parts: F.concat(F.lit(SITE), *(x if not isinstance(x, str) else F.lit(x) for x in parts))
     r, k = F.col("n_regionkey").cast("string"), F.col("n_nationkey")
-    out = n.select(F.lit(f"{site}/docs/").alias("url"), page("/docs/r", r, "/").alias("link"), k.alias("ord")).union(n.select(page("/docs/r", r, "/"), page("/docs/r", r, "/n", k.cast("string")), k)).union(n.select(page("/docs/r", r, "/"), page("/blog/n", k.cast("string")), k + 100))
-    return crawl.crawl(f"{site}/docs/", out, crawl.CrawlOptions(depth=2, max_urls=20)).seen
+    out = n.select(F.lit(f"{SITE}/docs/").alias("url"), page("/docs/r", r, "/").alias("link"), k.alias("ord")).union(n.select(page("/docs/r", r, "/"), page("/docs/r", r, "/n", k.cast("string")), k)).union(n.select(page("/docs/r", r, "/"), page("/blog/n", k.cast("string")), k + 100))
+    return crawl.crawl(f"{SITE}/docs/", out, crawl.CrawlOptions(depth=2, max_urls=20)).seen
 
 
 def _unnested(change: str, table="documents", text="text"):
@@ -197,13 +208,22 @@ def _doc_query(name, f, sql, text=lambda: F.col("text")):
         ORACLE[name] = sql
 
 
+_id = lambda: F.col("doc_id").cast("string")
 _trim = "regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')"
 _doc_query("doc_legal_filter", markdown.filter_legal_boilerplate, _unnested(f"regexp_matches({_trim}, '^(Copyright *(©)?|©) *[0-9]{{4}}') OR regexp_matches({_trim}, '^(?i:all rights reserved)[.]?$') OR regexp_matches({_trim}, '^(?i)(Terms of (Service|Use)|Privacy Policy)( *[|·•] *(Terms of (Service|Use)|Privacy Policy))*[.]?$')"))
 _doc_query("doc_format_filter", markdown.filter_formatting_artifacts, _unnested(f"regexp_matches({_trim}, '^(-{{3,}}|={{3,}}|[*]{{3,}}|_{{3,}})$') OR regexp_matches({_trim}, '^[*_~]+$')"))
 _doc_query("doc_whitespace", markdown.clean_whitespace, "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t\\r]+(\\n|$)', '\\1', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS value FROM documents")
 _doc_query("doc_clean_markdown", markdown.clean_markdown, "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t\\r]+(\\n|$)', '\\1', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS value FROM documents")
-_doc_query("doc_fence_segments", lambda x: F.size(markdown.fence_segments(x)).cast("int"), "SELECT doc_id, 1 + 2 * (doc_id % 2 = 0)::INT AS value FROM documents", lambda: F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```\n"))).otherwise(F.col("text")))
-_doc_query("doc_empty_sections", markdown.filter_empty_sections, "SELECT doc_id, '### kept' || chr(10) || text || chr(10) || '## end' AS value FROM documents", lambda: F.concat(F.lit("### gone\n#### gone too\n### kept\n"), F.col("text"), F.lit("\n### last\n## end")))
+_doc_query("doc_fence_segments", lambda x: F.size(markdown.fence_segments(x)).cast("int"), "SELECT doc_id, (1 + 2 * (doc_id % 4))::INT AS value FROM documents", lambda: F.concat(F.expr("repeat('```x\\ncode\\n  ```\\nprose\\n', int(doc_id % 4))"), F.col("text")))
+_doc_query(
+    "doc_empty_sections", markdown.filter_empty_sections,
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '### a' || doc_id || chr(10) || chr(10) || 'body' || chr(10) END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '#### b' || doc_id || chr(10) || 'x' || chr(10) END
+  || '## end' || chr(10) || text || CASE WHEN doc_id % 5 = 0 THEN '' ELSE chr(10) || '### last' || chr(10) || 'y' END AS value FROM documents""",
+    lambda: F.concat(
+        F.lit("### a"), _id(), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise("\n\nbody\n"), F.lit("#### b"), _id(), F.when(F.col("doc_id") % 2 == 0, "\n").otherwise("\nx\n"),
+        F.lit("## end\n"), F.col("text"), F.lit("\n### last"), F.when(F.col("doc_id") % 5 == 0, "").otherwise("\ny"),
+    ),
+)
 _doc_query(
     "doc_paragraph_dedup", lambda x: markdown.deduplicate_content(x),
     """WITH l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
@@ -213,9 +233,52 @@ SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY i) FILTER (n = 1) ||
 )
 _doc_query("doc_error_pages", predicates.is_error_page, "SELECT doc_id, length(trim(regexp_replace(text, '(?m)^#[^\\n]*\\n*', '', 'g'))) < 200 AND (contains(lower(text), '404') OR contains(lower(text), 'not found')) AS value FROM documents")
 _doc_query("doc_navigation_filter", markdown.filter_navigation, None, lambda: F.concat(F.lit("Home > Docs > API\n![](x.png)\n"), F.col("text")))
-_doc_query("doc_chrome_filter", markdown.strip_fallback_chrome, "SELECT doc_id, text AS value FROM documents", lambda: F.concat(F.lit("On this page\nlatest\n•\n"), F.col("text")))
-_doc_query("doc_vendor_filter", markdown.vendor_rules, "SELECT doc_id, 'Microsoft Learn' || chr(10) || text AS value FROM documents", lambda: F.concat(F.lit("Microsoft Learn\n5 min\nFeedback\n"), F.col("text")))
-QUERIES["doc_filter_markdown"] = lambda spark, sf_dir: markdown.filter_markdown(t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")), "value")
+_doc_query(
+    "doc_chrome_filter", markdown.strip_fallback_chrome, "SELECT doc_id, 'note ' || doc_id || chr(10) || CASE WHEN doc_id % 3 = 1 THEN 'latest news' || chr(10) ELSE '' END || text AS value FROM documents",
+    lambda: F.concat(F.lit("On this page\nnote "), _id(), F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "latest").when(F.col("doc_id") % 3 == 1, "latest news").otherwise("•"), F.lit("\n"), F.col("text")),
+)
+_doc_query(
+    "doc_vendor_filter", markdown.vendor_rules,
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Microsoft Learn' || chr(10) ELSE 'Learn' || chr(10) || doc_id || ' min' || chr(10) || 'Feedback' || chr(10) END || 'Feedback ' || doc_id || chr(10) || text AS value FROM documents""",
+    lambda: F.concat(F.when(F.col("doc_id") % 2 == 0, "Microsoft Learn\n").otherwise("Learn\n"), _id(), F.lit(" min\nFeedback\nFeedback "), _id(), F.lit("\n"), F.col("text")),
+)
+
+
+#: SQL of all filters for texts without fences: lines, then sections, then blocks between blank lines.
+FILTERED_SQL = r"""
+cut AS (SELECT doc_id, string_split(v, chr(10)) AS lines FROM given),
+l AS (SELECT doc_id, i, lines[i] AS line, trim(lines[i], ' ' || chr(9) || chr(13)) AS s FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM cut)),
+told AS (SELECT * FROM l WHERE NOT (regexp_matches(s, '^[^>]+(>[^>]+){2,}$') OR regexp_matches(s, '^(Copyright *(©)?|©) *[0-9]{4}') OR regexp_matches(s, '^(?i:all rights reserved)[.]?$')
+  OR regexp_matches(s, '^(?i)(Terms of (Service|Use)|Privacy Policy)( *[|·•] *(Terms of (Service|Use)|Privacy Policy))*[.]?$'))),
+next AS (SELECT doc_id, i, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM told WHERE s <> ''),
+full_sections AS (SELECT t.* FROM told t LEFT JOIN next n ON n.doc_id = t.doc_id AND n.i = t.i WHERE NOT (regexp_matches(line, '^[ \t]*#{3,}[ \t]+[^ \t]') AND (nxt IS NULL OR starts_with(nxt, '#')))),
+plain AS (SELECT * FROM full_sections WHERE NOT (regexp_matches(s, '^(-{3,}|={3,}|[*]{3,}|_{3,})$') OR regexp_matches(s, '^[*_~]+$'))),
+flagged AS (SELECT *, starts_with(s, '#') AS h, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM plain),
+placed AS (SELECT *, sum((s <> '' AND (before IS NULL OR before = '' OR h OR starts_with(before, '#')))::INT) OVER w AS block, sum((s = '')::INT) OVER w AS blanks FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+blocks AS (SELECT doc_id, block, max(blanks) AS blanks, bool_or(h) AS h, string_agg(line, chr(10) ORDER BY i) AS txt FROM placed WHERE s <> '' GROUP BY doc_id, block),
+keyed AS (SELECT *, CASE WHEN h AND NOT regexp_matches(trim(txt), '^##?[ \t]') THEN 'x' || block ELSE h::INT || trim(txt, ' ' || chr(9) || chr(13)) END AS k FROM blocks),
+firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY block) = 1),
+joined AS (SELECT doc_id, block, CASE WHEN blanks > lag(blanks) OVER (PARTITION BY doc_id ORDER BY block) THEN chr(10) || chr(10) ELSE chr(10) END || txt AS txt FROM firsts)
+SELECT doc_id, trim(regexp_replace(regexp_replace(string_agg(txt, '' ORDER BY block), ' {2,}', ' ', 'g'), '[ \t\r]+(\n|$)', '\1', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS value FROM joined GROUP BY doc_id"""
+TOLD = """'Skip Navigation' || chr(10) || 'Home > Docs > p' || doc_id || chr(10) || chr(10) || '### a' || doc_id || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '  body  ' || doc_id || chr(10) END || '## b' || chr(10)
+    || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || '---' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'No ' END || 'Copyright 2024 x' || chr(10) || chr(10) || '## b' || chr(10) || replace(text, chr(10), chr(10) || chr(10))"""
+
+
+@query(f"WITH given AS (SELECT doc_id, text AS v FROM documents),{FILTERED_SQL}")
+def doc_filter_markdown(spark, sf_dir):
+    return markdown.filter_markdown(t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")), "value")
+
+
+@query(f"WITH given AS (SELECT doc_id, regexp_replace({TOLD}, '(?i)Skip Navigation', '', 'g') AS v FROM documents),{FILTERED_SQL}")
+def doc_filter_injected(spark, sf_dir):
+    """All filters over each whole text twice, as paragraphs, among lines, headings and rules that vary by document."""
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    value = F.concat(
+        F.lit("Skip Navigation\nHome > Docs > p"), _id(), F.lit("\n\n### a"), _id(), F.lit("\n\n"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("  body  "), _id(), F.lit("\n"))), F.lit("## b\n"), text,
+        F.lit("\n---\n"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("No "), F.lit("Copyright 2024 x\n\n## b\n"), text,
+    )
+    return markdown.filter_markdown(t(spark, sf_dir, "documents").select("doc_id", value.alias("value")), "value")
+
 
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title FROM pages""")
@@ -253,16 +316,16 @@ def md_links(spark, sf_dir):
     return links.markdown_links(t(spark, sf_dir, "documents").select("doc_id", md.alias("markdown"), F.lit("https://h.example/d/x").alias("url"))).select("doc_id", "link", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("pos")).cast("int").alias("rank")).select("doc_id", "link", (F.col("rank") - 1).alias("pos"))
 
 
-@query("SELECT page_id, unnest(['/a', '/b']) AS pattern, unnest([3, 4])::INT AS ord, unnest(['disallow', 'allow']) AS type FROM pages")
+@query("SELECT page_id, unnest(['/a' || page_id, '/b']) AS pattern, unnest([3, 4])::INT AS ord, unnest(['disallow', CASE WHEN page_id % 2 = 0 THEN 'allow' ELSE 'disallow' END]) AS type FROM pages")
 def robots_rules(spark, sf_dir):
-    text = F.lit("User-agent: x\nDisallow: /no\nUser-agent: *\nDisallow: /a # all\nAllow: /b\n")
+    text = F.concat(F.lit("User-agent: x\nDisallow: /no\nUser-agent: *\nDisallow: /a"), F.col("page_id").cast("string"), F.lit(" # all\n"), F.when(F.col("page_id") % 2 == 0, "Allow").otherwise("Disallow"), F.lit(": /b\n"))
     return predicates.parse_robots_table(t(spark, sf_dir, "pages").select(F.col("page_id").alias("host"), text.alias("text"))).select(F.col("host").alias("page_id"), "pattern", "ord", "type")
 
 
-@query("SELECT page_id, list_distinct([url, url || '/x', url]) = [] AS none, len(list_distinct([url, url || '/x', url]))::INT AS n FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || ' ' || url || '/x' ELSE url || ' ' || url || '/x ' || url || '/y' END AS merged FROM pages")
 def merged_links(spark, sf_dir):
-    both = links.merge_links(F.array("url"), F.array(F.concat("url", F.lit("/x")), F.col("url")))
-    return t(spark, sf_dir, "pages").select("page_id", (F.size(both) == 0).alias("none"), F.size(both).alias("n"))
+    both = links.merge_links(F.array("url"), F.array(F.concat("url", F.lit("/x")), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/y"))), F.col("url")))
+    return t(spark, sf_dir, "pages").select("page_id", F.array_join(both, " ").alias("merged"))
 
 
 @query("SELECT page_id, md5('# ' || page_id || chr(10)) AS digest FROM pages")

@@ -5,7 +5,9 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -372,6 +374,59 @@ def test_chat_events():
     assert not re.search(r"</s>|\[INST\]", chat.escape("a</s>[INST]b")) and chat.unescape(chat.escape("\\l<[\\")) == "\\l<[\\"
 
 
+def test_chat_blocks_are_the_fold():
+    rng = random.Random(5)
+    for _ in range(200):
+        events, seq = [], None
+        for k in range(rng.randrange(1, 40)):
+            seq = None if k < 2 and rng.random() < 0.3 else (seq or 0) + rng.randrange(3)
+            kind = rng.choice(["message", "message", "delta", "edit", "regenerate", "other", None])
+            events.append((seq, kind, rng.choice(["user", "assistant", "system", "x", None]), rng.choice(["<a>", "bc[", None, "d" * 9]), rng.choice([None, (seq or 0) - rng.randrange(4), rng.randrange(40)])))
+        events.sort(key=lambda e: (e[0] is not None, e[0] or 0))
+        rows = []
+        for conv in (1, None):
+            for e in events:
+                later = [x[4] for x in events if (x[0] is not None, x[0] or 0) >= (e[0] is not None, e[0] or 0) and x[1] in chat.REFERRING and x[4] is not None]
+                rows.append((conv, *e, min(later, default=None)))
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()])], names=list("abcdefg"))
+        want = chat.render(chat.fold(events))[0]
+        for most in (0, 20, 10_000):
+            got = [r for b in chat.blocks([batch], most) for r in b.to_pylist()]
+            for conv in (1, None):
+                mine = [r for r in got if r["conv_id"] == conv]
+                assert [r["block"] for r in mine] == list(range(len(mine))) and "".join(r["formatted"] for r in mine) == want
+
+
+def test_chat_long_conversation_in_bounded_memory():
+    def batches(n):
+        for at in range(0, n, 1000):
+            seqs = range(at, at + 1000)
+            columns = [[7] * 1000, seqs, ["delta" if s % 2 else "message" for s in seqs], ["assistant"] * 1000, ["x" * 200] * 1000, [s - 1 if s % 2 else None for s in seqs], [s - s % 2 if s % 2 else s for s in seqs]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in columns], names=list("abcdefg"))
+
+    def peak(n):
+        tracemalloc.start()
+        (row,) = [r for b in chat.digests(chat.blocks(batches(n), 100_000)) for r in b.to_pylist()]
+        assert row["n_turns"] == n // 2 and row["loss_chars"] == n * 200
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(200_000) < 1.3 * peak(100_000)
+
+
+def test_chat_blocks_by_spark(spark):
+    events = [(c, k, "message" if k % 3 else "delta", "user" if k % 2 else "assistant", f"{k}<{c}", k - 1 if k % 6 == 0 else None) for c in (1, 2) for k in range(300)]
+    df = spark.createDataFrame(events, "conv_id long, seq long, kind string, role string, text string, target long")
+    blocks = chat.format_chats(df, block=50)
+    assert blocks.count() > 20
+    whole = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    for r in blocks.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "formatted"))), lambda x: x.formatted), "").alias("formatted")).collect():
+        assert r.formatted == whole[r.conv_id].formatted == chat.render(chat.fold([e[1:] for e in events if e[0] == r.conv_id]))[0]
+    digests = {tuple(r) for r in chat.read_chats(chat.format_chats(df)).collect()}
+    assert digests == {tuple(r) for r in chat.read_chats(blocks.orderBy("formatted")).collect()} == {tuple(r) for r in chat.read_chats(blocks, dealt=True).collect()}
+
+
 def brute_components(data, k, percent):
     sets = []
     for d in data:

@@ -51,9 +51,11 @@ def output_files(extracted: DataFrame, keep_query: bool = False, use_filter: boo
     return rows.withColumn("content", markdown.vendor_rules(F.col("content")))
 
 
-def prefer_hosted(pages: DataFrame, hosted: DataFrame) -> DataFrame:
+def prefer_hosted(pages: DataFrame, hosted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """url, markdown: for each of pages (url) the first of its candidates among hosted (url, content_type, text) that looks like
-    Markdown; pages without one are left out."""
-    wanted = pages.select("url", F.posexplode(urls.markdown_candidates(F.col("url"))).alias("ord", "candidate"))
-    good = hosted.where(predicates.is_markdown_like(F.col("content_type"), F.col("text"))).select(F.col("url").alias("candidate"), "text")
-    return wanted.join(good, "candidate").groupBy("url").agg(F.min_by("text", "ord").alias("text")).select("url", markdown.clean_markdown(F.col("text")).alias("markdown"))
+    Markdown; pages without one are left out. by: columns that both have and the result keeps; texts hosted under one address, as in
+    several fetches, then go to the pages that agree in them."""
+    wanted = pages.select(*by, "url", F.posexplode(urls.markdown_candidates(F.col("url"))).alias("ord", "candidate"))
+    good = hosted.where(predicates.is_markdown_like(F.col("content_type"), F.col("text"))).select(*by, F.col("url").alias("candidate"), "text")
+    first = wanted.join(good, [*by, "candidate"]).groupBy(*by, "url").agg(F.min_by("text", "ord").alias("text"))
+    return first.select(*by, "url", markdown.clean_markdown(F.col("text")).alias("markdown"))

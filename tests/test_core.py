@@ -322,3 +322,9 @@ def test_documents_of_which_nothing_is_left(spark, tmp_path, name, rows):
     texts = ["All rights reserved.", "All rights reserved.\nall rights reserved", None, "", "x", "All rights reserved.\ny\nAll rights reserved."]
     got, want = against_sql(spark, tmp_path, name, documents=("doc_id long, text string", list(enumerate(texts))))
     assert got == want and len(got) == rows
+
+
+def test_pages_with_equal_candidates_keep_their_own_text(spark, tmp_path):
+    addresses = ["https://h.example/x", "https://h.example/x/", "https://h.example/x", "https://h.example/", "https://h.example", "https://h.example/y.md"]
+    got, want = against_sql(spark, tmp_path, "hosted_markdown", pages=("page_id long, url string", list(enumerate(addresses))))
+    assert got == want and len({digest for _, digest in got}) == len(addresses)

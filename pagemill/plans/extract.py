@@ -28,15 +28,16 @@ def extract_markdown(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, "page_id bigint, url string, title string, markdown string, links array<string>, raw_html_length bigint")
 
 
-def titles_and_links(pages: DataFrame) -> DataFrame:
-    """page_id, title, links of pages (page_id, url, html), without the conversion."""
+def titles_and_links(pages: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
+    """page_id, title, links of pages (page_id, url, html), without the conversion; null html has a null title. In titles all
+    character references are read, as browsers do, or those named only, each with its semicolon."""
     schema = pa.schema([("page_id", pa.int64()), ("title", pa.string()), ("links", pa.list_(pa.string()))])
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                rows = [html.title_and_links(h, u) for h, u in zip(part.column(2).to_pylist(), part.column(1).to_pylist())]
+                rows = [html.title_and_links(h, u, references) for h, u in zip(part.column(2).to_pylist(), part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], schema=schema)
 
     return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, "page_id bigint, title string, links array<string>")

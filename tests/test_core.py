@@ -328,3 +328,11 @@ def test_pages_with_equal_candidates_keep_their_own_text(spark, tmp_path):
     addresses = ["https://h.example/x", "https://h.example/x/", "https://h.example/x", "https://h.example/", "https://h.example", "https://h.example/y.md"]
     got, want = against_sql(spark, tmp_path, "hosted_markdown", pages=("page_id long, url string", list(enumerate(addresses))))
     assert got == want and len({digest for _, digest in got}) == len(addresses)
+
+
+def test_titles_with_references_that_are_cut_off(spark, tmp_path):
+    titles = ["a &amp", "a &amp; b &quo", "&lt;x&gt; &quot;&#x27;&amp;lt;", "&copy; a &ampx", " a \n b "]
+    pages = [(k, "https://h.example/", f"<html><head><title>{x}</title></head><body>&amp</body></html>") for k, x in enumerate(titles)]
+    got, want = against_sql(spark, tmp_path, "page_title", pages=("page_id long, url string, html string", [*pages, (9, "https://h.example/", None), (10, "https://h.example/", "<p>x")]))
+    assert got == want and dict(got)[0] == "a &amp"
+    assert html.extract(pages[0][2], pages[0][1])[0] == "a &"

@@ -27,13 +27,14 @@ def changed(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
     return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], at: int, change: Callable[[str], str]) -> Iterator[pa.RecordBatch]:
+    """Batches with column at changed; each slice is handed on before the next one is read."""
+    for b in batches:
+        for part in slices(b, at):
+            yield part.set_column(at, part.schema.names[at], changed(part.column(at), change))
+
+
 def map_text(df: DataFrame, column: str, change: Callable[[str], str]) -> DataFrame:
     """df with a column of texts changed by a function, one slice at a time; nulls stay."""
     at = df.columns.index(column)
-
-    def run(batches):
-        for b in batches:
-            for part in slices(b, at):
-                yield part.set_column(at, column, changed(part.column(at), change))
-
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: in_slices(batches, at, change), df.schema)

@@ -362,3 +362,16 @@ def test_slices_hold_every_row_and_few_bytes():
     for parts in (list(batches.slices(texts)), [x.column(0) for x in batches.slices(pa.record_batch({"t": texts}), 0)]):
         assert pa.concat_arrays(parts) == texts and all(len(x) <= 256 and (len(x) == 1 or sum(len(t or "") for t in x.to_pylist()) <= 1_000_000) for x in parts)
     assert not list(batches.slices(pa.array([], pa.string())))
+
+
+def test_repeated_paragraphs_of_a_batch_go_slice_by_slice(spark, tmp_path):
+    import pyarrow as pa
+
+    from pagemill.functions import batches
+
+    seen = []
+    parts = batches.in_slices(iter([pa.record_batch({"k": range(20), "t": ["p" * 300_000] * 20})]), 1, lambda t: seen.append(t) or markdown.deduplicate_text(t))
+    assert next(parts).num_rows == len(seen) == 3 and sum(x.num_rows for x in parts) == 17
+    texts = ["a\nb\na", None, "", "a\n a", "b\nb\nc"]
+    got, want = against_sql(spark, tmp_path, "doc_paragraph_dedup", documents=("doc_id long, text string", list(enumerate(texts))))
+    assert got == want and len(got) == 4

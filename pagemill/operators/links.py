@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import predicates, urls
+from ..functions.batches import slices
 from .shared import kept
 
 HREF = r"""<[aA]\s(?:[^>]*?\s)?[hH][rR][eE][fF]\s*=\s*"([^"]*)\""""
@@ -72,10 +72,13 @@ def _replaced(text: str, new: dict[str, str]) -> str:
     return re.sub(MD_LINK, lambda m: f"[{m[1]}]({new[m[2]]}{m[3]})" if m[2] in new else m[0], text)
 
 
-@F.pandas_udf(T.StringType())
-def _apply(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, old, new in parts:
-        yield pd.Series([t if t is None or a is None or not len(a) else _replaced(t, dict(zip(a, b))) for t, a, b in zip(texts, old, new)])
+def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, rel_path, content of batches that hold old and new addresses too, slice by slice."""
+    for b in batches:
+        for part in slices(b, 2):
+            texts, old, new = (part.column(k).to_pylist() for k in (2, 3, 4))
+            content = pa.array([_replaced(t, dict(zip(x, y))) if t is not None and x else t for t, x, y in zip(texts, old, new)], pa.string())
+            yield part.select([0, 1, 2]).set_column(2, "content", content)
 
 
 def _hrefs(files: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def _hrefs(files: DataFrame) -> DataFrame:
 def _rewritten(files: DataFrame, changes: DataFrame) -> DataFrame:
     maps = changes.groupBy("host", "rel_path").agg(F.collect_list(F.struct("href", "new")).alias("m"))
     joined = files.join(maps, ["host", "rel_path"], "left")
-    return joined.select("host", "rel_path", F.when(F.col("m").isNull(), F.col("content")).otherwise(_apply("content", F.col("m.href"), F.col("m.new"))).alias("content"))
+    return joined.select("host", "rel_path", "content", F.col("m.href").alias("old"), F.col("m.new").alias("new")).mapInArrow(_applied, "host string, rel_path string, content string")
 
 
 def rewrite_absolute_links(files: DataFrame, keep_query: bool = False) -> DataFrame:

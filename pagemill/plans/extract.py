@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, markdown, predicates, urls
+from ..functions.batches import slices
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("markdown", pa.string()), ("links", pa.list_(pa.string())), ("raw_html_length", pa.int64())])
 
@@ -16,8 +17,7 @@ def extract_markdown(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in slices(b, 2):
                 ids, us, hs = (c.to_pylist() for c in part.columns)
                 rows = [html.extract(h, u) for h, u in zip(hs, us)]
                 yield pa.RecordBatch.from_arrays([
@@ -35,8 +35,7 @@ def titles_and_links(pages: DataFrame, references: tuple[str, ...] | None = None
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in slices(b, 2):
                 rows = [html.title_and_links(h, u, references) for h, u in zip(part.column(2).to_pylist(), part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], schema=schema)
 

@@ -375,3 +375,14 @@ def test_repeated_paragraphs_of_a_batch_go_slice_by_slice(spark, tmp_path):
     texts = ["a\nb\na", None, "", "a\n a", "b\nb\nc"]
     got, want = against_sql(spark, tmp_path, "doc_paragraph_dedup", documents=("doc_id long, text string", list(enumerate(texts))))
     assert got == want and len(got) == 4
+
+
+def test_links_of_a_batch_are_rewritten_slice_by_slice():
+    import pyarrow as pa
+
+    size = 300_000
+    rows = [{"host": "h", "rel_path": f"{k}.md", "content": f"[a](/x \"t\") [b](/y){'z' * size}", "old": ["/x"] if k % 2 else None, "new": ["./x.md"] if k % 2 else None} for k in range(9)]
+    parts = list(links._applied(iter([pa.RecordBatch.from_pylist([*rows, {"host": "h", "rel_path": "n.md", "content": None, "old": ["/x"], "new": ["/y"]}])])))
+    assert [x.num_rows for x in parts] == [3, 3, 4]
+    got = [c and c[:-size] for x in parts for c in x.column(2).to_pylist()]
+    assert got == [*(['[a](/x "t") [b](/y)', '[a](./x.md "t") [b](/y)'] * 5)[:9], None]
